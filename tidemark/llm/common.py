@@ -6,11 +6,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Rows are dealt to this many buckets for each shuffle partition where a key may be hot.
-SALTS = 1
-
 
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder of the cluster; a folder of our own only where none is set."""
@@ -50,29 +48,26 @@ def row_key(*cols: Column) -> Column:
     return F.md5(F.concat_ws("\x1f", *parts))
 
 
-def numbered(df: DataFrame, group: list[str], order: list[str], name: str, offset_in: list[str] | None = None) -> DataFrame:
-    """Add `name`: a gapless number from 0 within each group, without one task per group.
+def before(df: DataFrame, group: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """Add `name`: the sum of `value` over the rows of the same group that stand before a row.
 
-    Each group is dealt over buckets by a hash of the ordering columns. Rows are numbered in
-    (group, bucket); a bucket's offset is the count of the group's earlier buckets, which needs
-    one small row for each group and bucket. Repeated rows get different numbers.
+    No task holds a whole group: each is dealt over buckets by a hash of the ordering columns; sums run within
+    (group, bucket), and a bucket's offset is the sum of the group's earlier buckets, which needs one small row for each
+    group and bucket. The order is by bucket, then by the ordering columns; repeated rows stand in any order.
     """
-    from pyspark.sql import Window as W
-
-    spark = df.sparkSession
-    n = partitions(spark)
-    bucket = "__tm_bucket"
-    dealt = df.withColumn(bucket, F.pmod(F.xxhash64(*order), F.lit(n)).cast("int"))
-    counts = dealt.groupBy(*group, bucket).agg(F.count(F.lit(1)).alias("__tm_n"))
-    before = W.partitionBy(*group).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(
-        *[F.col(g).alias(f"__tm_g{i}") for i, g in enumerate(group)],
-        F.col(bucket).alias("__tm_b"),
-        F.coalesce(F.sum("__tm_n").over(before), F.lit(0)).alias("__tm_off"),
-    )
-    local = F.row_number().over(W.partitionBy(*group, bucket).orderBy(*order)) - 1
-    on = [F.col(g).eqNullSafe(F.col(f"__tm_g{i}")) for i, g in enumerate(group)]
-    joined = dealt.withColumn("__tm_local", local).join(offsets, [F.col(bucket) == F.col("__tm_b"), *on], "inner")
-    return joined.withColumn(name, (F.col("__tm_local") + F.col("__tm_off")).cast("long")).drop(
-        bucket, "__tm_b", "__tm_off", "__tm_local", *[f"__tm_g{i}" for i in range(len(group))]
-    )
+    n = partitions(df.sparkSession)
+    dealt = df.withColumn("__tm_b", F.pmod(F.xxhash64(*order), F.lit(n)).cast("int")).withColumn("__tm_v", value.cast("long"))
+    keys = [F.col(g).alias(f"__tm_g{i}") for i, g in enumerate(group)]
+    named = [f"__tm_g{i}" for i in range(len(group))]
+    sums = dealt.groupBy(*keys, F.col("__tm_b").alias("__tm_o")).agg(F.sum("__tm_v").alias("__tm_t"))
+    earlier = W.partitionBy(*(named or [F.lit(0)])).orderBy("__tm_o").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sums.withColumn("__tm_s", F.coalesce(F.sum("__tm_t").over(earlier), F.lit(0))).drop("__tm_t")
+    local = W.partitionBy(*group, "__tm_b").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    on = [F.col("__tm_b") == F.col("__tm_o"), *[F.col(g).eqNullSafe(F.col(k)) for g, k in zip(group, named, strict=True)]]
+    out = dealt.withColumn("__tm_l", F.coalesce(F.sum("__tm_v").over(local), F.lit(0))).join(offsets, on, "inner")
+    return out.withColumn(name, F.col("__tm_l") + F.col("__tm_s")).drop("__tm_b", "__tm_v", "__tm_o", "__tm_s", "__tm_l", *named)
+
+
+def numbered(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+    """Add `name`: a gapless number from 0 within each group; repeated rows get different numbers."""
+    return before(df, group, order, F.lit(1), name)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import quality, sharding, url_filter
+from . import bpe, packing, quality, sharding, token_counts, url_filter
 
 QUERIES = {
+    "op1_bpe": bpe.op1_bpe,
+    "op2_token_counts": token_counts.op2_token_counts,
+    "op3_packing": packing.op3_packing,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_quality_rules": quality.op5_quality_rules,
     "op8_sharding": sharding.op8_sharding,
