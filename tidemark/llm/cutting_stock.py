@@ -10,9 +10,9 @@ from __future__ import annotations
 import numpy as np
 
 #: Length classes of the program; with fewer distinct lengths each is a class of its own.
-CLASSES = 320
-#: The program is taken as solved when its proven gap is below this.
-GAP = 1e-4
+CLASSES = 192
+#: The program is solved when it is proven to use at most so many times more bins than the optimum.
+GAP = 2e-4
 
 
 def classes_of(counts: np.ndarray, most: int = CLASSES) -> np.ndarray:
@@ -75,20 +75,23 @@ def solve(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 20
     basis = np.diag((capacity // sizes).astype(float))
     inverse, times = np.linalg.inv(basis), demand / np.diag(basis)
     pool = np.zeros((0, m))
-    for _ in range(rounds):
+    least = float(sizes @ demand) / capacity
+    for k in range(rounds):
         duals = inverse.sum(axis=0)
         best, last = _price(sizes, np.maximum(duals, 0), capacity)
         top = best[capacity]
-        if top <= 1 + GAP:  # no pattern is worth more than (1 + gap) bins, so neither is the optimum by more
+        # bins needed at least: for the material, and by the duals scaled until no pattern is worth more than a bin
+        least = max(least, float(times.sum()) / top)
+        if times.sum() <= (1 + GAP) * least:
             break
         value = np.maximum(duals, 0) + best[capacity - sizes]
-        offered = [_pattern(int(i), sizes, last, capacity) for i in np.argsort(-value)[: max(8, m // 8)] if value[i] > 1 + GAP]
+        offered = [_pattern(int(i), sizes, last, capacity) for i in np.argsort(-value)[: max(8, m // 4)] if value[i] > 1 + 1e-9]
         pool = np.unique(np.vstack([pool[-4 * m :], *offered]), axis=0)
         for _ in range(2 * m):
             duals = inverse.sum(axis=0)
             worth = pool @ duals
             j = int(worth.argmax())
-            if worth[j] <= 1 + GAP / 10:
+            if worth[j] <= 1 + 1e-7:
                 break
             direction = inverse @ pool[j]
             ratio = np.full(m, np.inf)
@@ -103,8 +106,9 @@ def solve(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 20
             inverse -= np.outer(direction, pivot)
             inverse[r] = pivot
             basis[:, r] = pool[j]
-        inverse = np.linalg.inv(basis)
-        times = np.maximum(inverse @ demand, 0)
+        if k % 8 == 7:  # against rounding
+            inverse = np.linalg.inv(basis)
+            times = np.maximum(inverse @ demand, 0)
     return [(float(t), basis[:, k].astype(int)) for k, t in enumerate(times) if t > 1e-9]
 
 
