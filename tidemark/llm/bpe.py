@@ -1,6 +1,6 @@
 """Byte-level BPE by recursive DuckDB queries inside each partition.
 
-A word is a set of (word, position, token) rows. Each step of the recursion joins neighbouring rows with the merge
+Each step of the recursion lays the words' ids out as (word, position, token, next token) rows, joins them with the merge
 table and contracts, in every word, the leftmost pair of smallest rank; words without a pair drop out. Decoding joins
 ids with the vocabulary and puts the bytes together by an ordered aggregate. What has been encoded or decoded stays in
 bounded caches of the Python worker, so a query sees each distinct word about once.
@@ -21,33 +21,28 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import Cache, cut, groups
+from .chunks import Cache, groups
 from .common import read_table
 
 #: Longer words would make too many rows a step; they are contracted by the same rule with a heap.
 LONG_WORD = 1024
 #: Rows that the steps of one recursive query may make together.
 STEP_ROWS = 3_000_000
-CACHE = 250_000
+CACHE = 400_000
 
 _ENCODE = """
-WITH RECURSIVE step(w, pos, id, it) AS (
-  SELECT w, p - 1, v.id, 0
-  FROM (SELECT w, s, unnest(range(1, length(s) + 1)) AS p FROM todo) t JOIN vocab v ON v.s = t.s[p]
+WITH RECURSIVE step(w, ids) AS (
+  SELECT w, list(v.id ORDER BY p)
+  FROM (SELECT w, s, unnest(range(1, length(s) + 1)) AS p FROM todo) t JOIN vocab v ON v.s = t.s[p] GROUP BY w
   UNION ALL
-  SELECT w, pos, CASE WHEN pos = best & 1048575 THEN (best >> 20)::INTEGER ELSE id END, it + 1
-  FROM (
-    SELECT w, pos, id, it, prev, min((merged::BIGINT << 20) | pos) OVER (PARTITION BY w) AS best
-    FROM (
-      SELECT n.w, n.pos, n.id, n.it, n.prev, m.id AS merged
-      FROM (SELECT w, pos, id, it, lead(id) OVER o AS following, lag(pos) OVER o AS prev
-            FROM step WINDOW o AS (PARTITION BY w ORDER BY pos)) n
-      LEFT JOIN merges m ON m.pair = n.id::BIGINT * 4294967296 + n.following))
-  WHERE best IS NOT NULL AND (prev IS NULL OR prev <> best & 1048575)
+  SELECT w, ids[:(best & 1048575) - 1] || [(best >> 20)::INTEGER] || ids[(best & 1048575) + 2:]
+  FROM step JOIN (
+    SELECT w, min((m.id::BIGINT << 20) | p) AS best
+    FROM (SELECT w, unnest(ids[:-2]) AS a, unnest(ids[2:]) AS b, generate_subscripts(ids[2:], 1) AS p FROM step) t
+    JOIN merges m ON m.pair = t.a::BIGINT * 4294967296 + t.b GROUP BY w) USING (w)
 )
-SELECT w, list(id ORDER BY pos) AS ids FROM step WHERE (w, it) IN (SELECT w, max(it) FROM step GROUP BY w) GROUP BY w
+SELECT w, arg_min(ids, len(ids)) AS ids FROM step GROUP BY w
 """
-_WHOLE = "SELECT w, v.id FROM todo JOIN vocab v USING (s)"
 _DECODE = """
 SELECT d, array_to_string(list(v.s ORDER BY p), '') AS s
 FROM (SELECT d, unnest(ids) AS id, generate_subscripts(ids, 1) AS p FROM todo) JOIN vocab v USING (id) GROUP BY d
@@ -65,7 +60,7 @@ class Bpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.bytes_of = {i: t for t, i in ranks.items()}
-        self.words, self.chunks, self.first, self.decoded = Cache(CACHE), Cache(CACHE), Cache(CACHE // 8), Cache(CACHE)
+        self.words, self.decoded = Cache(CACHE), Cache(CACHE)
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         ids = pa.array(list(ranks.values()), pa.int32())
         self._table("vocab", {"id": ids, "s": pa.array([t.decode("latin-1") for t in ranks])})
@@ -83,11 +78,11 @@ class Bpe:
         self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
         self.con.unregister("given")
 
-    def _run(self, sql: str, columns: dict) -> list[tuple]:
+    def _run(self, sql: str, columns: dict) -> list[pa.Array]:
         self.con.register("todo", pa.table(columns))
         out = self.con.sql(sql).to_arrow_table()
         self.con.unregister("todo")
-        return list(zip(*(c.to_pylist() for c in out.columns), strict=True))
+        return [c.combine_chunks() for c in out.columns]
 
     def _long(self, word: bytes) -> bytes:
         ids = [self.ranks[word[i : i + 1]] for i in range(len(word))]
@@ -116,15 +111,16 @@ class Bpe:
 
     def _learn(self, words: Iterable[str]) -> None:
         """Put the words' ids, as little-endian 32-bit bytes, into the cache."""
+        known = self.words.young
         todo: list[str] = []
         rows = 0
         for word in words:
             raw = word.encode()
             rank = self.ranks.get(raw)
             if rank is not None:  # as the library does, a word that is a token is not contracted
-                self.words[word] = np.array([rank], "<u4").tobytes()
+                known[word] = np.array([rank], "<u4").tobytes()
             elif len(raw) > LONG_WORD:
-                self.words[word] = self._long(raw)
+                known[word] = self._long(raw)
             else:
                 todo.append(word)
                 rows += len(raw) * (len(raw) + 1) // 2
@@ -136,35 +132,32 @@ class Bpe:
 
     def _contract(self, words: list[str]) -> None:
         given = {"w": pa.array(range(len(words)), pa.int32()), "s": pa.array([w.encode().decode("latin-1") for w in words])}
-        for i, ids in self._run(_ENCODE, given):
-            self.words[words[i]] = np.array(ids, "<u4").tobytes()
+        which, ids = self._run(_ENCODE, given)
+        raw = ids.flatten().to_numpy().astype("<u4").tobytes()
+        ends = (4 * np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy())])).tolist()
+        for i, a, b in zip(which.to_pylist(), ends, ends[1:], strict=False):
+            self.words.young[words[i]] = raw[a:b]
 
     def encode(self, texts: list[str]) -> list[list[bytes]]:
-        """For each text the ids of its chunks, in order."""
-        for cache in (self.words, self.chunks, self.first, self.decoded):
-            cache.trim()
-        parts = [cut(t) for t in texts]
-        rest = set().union(*(p[1:] for p in parts)).difference(self.chunks)
-        heads = {p[0] for p in parts}.difference(self.first)
-        found = {(True, c): self.pattern.findall(" " + c) for c in rest} | {(False, c): self.pattern.findall(c) for c in heads}
-        self._learn(set().union(*found.values()).difference(self.words) if found else ())
-        words = self.words
-        for (spaced, chunk), pre in found.items():
-            (self.chunks if spaced else self.first)[chunk] = words[pre[0]] if len(pre) == 1 else b"".join([words[w] for w in pre])
-        chunks = self.chunks
-        return [[self.first[p[0]], *[chunks[c] for c in p[1:]]] for p in parts]
-
-    def decode(self, pieces: Iterable[bytes]) -> None:
-        """Put the bytes of pieces of ids into the cache `decoded`."""
-        todo = [p for p in set(pieces).difference(self.decoded) if p]
-        self.decoded[b""] = b""
+        """For each text the ids of its words, in order."""
+        parts = [self.pattern.findall(t) for t in texts]
+        self._learn(self.words.missing(set().union(*parts)))
+        known = self.words.young
+        return [list(map(known.__getitem__, p)) for p in parts]
+
+    def decode(self, pieces: set[bytes]) -> dict[bytes, bytes]:
+        """The bytes of each piece of ids."""
+        todo = self.decoded.missing(pieces)
+        known = self.decoded.young
+        known[b""] = b""
         for a in range(0, len(todo), 100_000):
             some = todo[a : a + 100_000]
-            ids = pa.ListArray.from_arrays(
-                pa.array(np.cumsum([0, *(len(p) // 4 for p in some)]), pa.int32()), pa.array(np.frombuffer(b"".join(some), "<u4").astype("i4"))
-            )
-            for i, s in self._run(_DECODE, {"d": pa.array(range(len(some)), pa.int32()), "ids": ids}):
-                self.decoded[some[i]] = s.encode("latin-1")
+            ends = pa.array(np.cumsum([0, *(len(p) // 4 for p in some)]), pa.int32())
+            ids = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(some), "<u4").astype("i4")))
+            which, texts = self._run(_DECODE, {"d": pa.array(range(len(some)), pa.int32()), "ids": ids})
+            for i, s in zip(which.to_pylist(), texts.to_pylist(), strict=True):
+                known[some[i]] = s.encode("latin-1")
+        return known
 
 
 _held: dict[tuple[str, str], Bpe] = {}
@@ -201,10 +194,9 @@ def decode(rows: DataFrame, ranks_path: str, pattern: str = public_tokenizers.PA
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(ranks_path, pattern)
         for batch in batches:
-            bpe.decoded.trim()
             pieces = [np.array(x.as_py() or [], "<u4").tobytes() for x in batch.column("ids")]
-            bpe.decode(pieces)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([bpe.decoded[p] for p in pieces], pa.binary())], ["doc_id", "decoded"])
+            decoded = bpe.decode(set(pieces))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([decoded[p] for p in pieces], pa.binary())], ["doc_id", "decoded"])
 
     return rows.select("doc_id", "ids").mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, decoded binary")
 
@@ -221,9 +213,9 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str = public_tokenizer
         for batch in batches:
             for start, texts in groups(batch.column("text")):
                 encoded = bpe.encode(texts)
-                bpe.decode(set().union(*encoded))
+                decoded = bpe.decode(set().union(*encoded))
                 ids = [b"".join(p) for p in encoded]
-                back = [sha(b"".join([bpe.decoded[x] for x in p])) for p in encoded]
+                back = [sha(b"".join(map(decoded.__getitem__, p))) for p in encoded]
                 columns = [batch.column("doc_id").slice(start, len(texts)), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(sha, ids)), pa.array(back)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import islice
 
 import pyarrow as pa
 
@@ -40,14 +39,21 @@ def groups(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
         yield start, held
 
 
-class Cache(dict):
-    """What a worker keeps between groups; the oldest half goes when it has grown past `limit`."""
+class Cache:
+    """What a worker keeps between groups, in two generations. `young` holds all that the present group needs; when it has
+    grown past `limit` it becomes the old one, from which what is needed again comes back."""
 
     def __init__(self, limit: int):
-        super().__init__()
         self.limit = limit
-
-    def trim(self) -> None:
-        if len(self) > self.limit:
-            for key in list(islice(self, len(self) - self.limit // 2)):
-                del self[key]
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def missing(self, wanted: set) -> list:
+        """Call first in each group: makes room, and says what of `wanted` has to be worked out and put into `young`."""
+        if len(self.young) > self.limit:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        new = wanted.difference(young)
+        back = new.intersection(old)
+        young.update((k, old[k]) for k in back)
+        return list(new.difference(back))

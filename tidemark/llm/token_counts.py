@@ -51,20 +51,19 @@ class Counter:
         self.frequent = dict(zip(table[0].decode().split("\n"), table[1], strict=True)) if table[1] else {}
         self.chunks, self.first = Cache(CACHE), Cache(CACHE // 8)
 
-    def _learn(self, cache: Cache, chunks: list[str], space: str) -> None:
+    def _learn(self, cache: Cache, wanted: set[str], space: str) -> None:
+        chunks = cache.missing(wanted)
         for a in range(0, len(chunks), 20_000):
             some = chunks[a : a + 20_000]
-            cache.update(zip(some, _counts(self.tokenizer, [space + c for c in some]), strict=True))
+            cache.young.update(zip(some, _counts(self.tokenizer, [space + c for c in some]), strict=True))
 
     def count(self, texts: list[str]) -> list[int]:
-        self.chunks.trim()
-        self.first.trim()
         parts = [cut(t) for t in texts]
         seen = set().union(*(p[1:] for p in parts))
-        self._learn(self.chunks, [c for c in seen if c not in self.frequent and c not in self.chunks], " ")
-        self._learn(self.first, list({p[0] for p in parts}.difference(self.first)), "")
-        both = {c: self.frequent[c] if c in self.frequent else self.chunks[c] for c in seen}
-        return [self.first[p[0]] + sum([both[c] for c in p[1:]]) for p in parts]
+        self._learn(self.chunks, seen.difference(self.frequent), " ")
+        self._learn(self.first, {p[0] for p in parts}, "")
+        both = self.chunks.young | {c: self.frequent[c] for c in seen.intersection(self.frequent)}
+        return [self.first.young[p[0]] + sum([both[c] for c in p[1:]]) for p in parts]
 
 
 _held: dict[str, Counter] = {}
