@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, quality, sharding, token_counts, url_filter
+from . import ann, bpe, langid, minhash, packing, quality, sharding, suffix_dedup, token_counts, url_filter
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -10,7 +10,11 @@ QUERIES = {
     "op3_packing": packing.op3_packing,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_quality_rules": quality.op5_quality_rules,
+    "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
+    "op7_nearest": ann.op7_nearest,
     "op8_sharding": sharding.op8_sharding,
+    "op9_near_duplicates": minhash.op9_near_duplicates,
+    "op10_language_id": langid.op10_language_id,
 }
 
 ORACLES = {

@@ -85,7 +85,7 @@ def _positions(key: Column, bits: int, hashes: int, level: int) -> list[Column]:
     return [F.pmod(a + b * F.lit(j), F.lit(bits)).cast("long") for j in range(hashes)]
 
 
-def _build(keys: DataFrame, n: int, rate: float, level: int, max_bytes: int) -> Bloom | None:
+def build_bloom(keys: DataFrame, n: int, rate: float, level: int = 1, max_bytes: int = MAX_FILTER_BYTES) -> Bloom | None:
     """A filter over the n keys with that false positive rate; None if it would be too large."""
     words = max(1, math.ceil(-n * math.log(rate) / math.log(2) ** 2 / 64))
     if words * 8 > max_bytes:
@@ -100,7 +100,7 @@ def _build(keys: DataFrame, n: int, rate: float, level: int, max_bytes: int) ->
     return Bloom(tuple(held.get(i, 0) for i in range(words)), hashes, level)
 
 
-def _holds(bloom: Bloom, key: Column) -> Column:
+def holds(bloom: Bloom, key: Column) -> Column:
     words = F.split(F.lit(",".join(map(str, bloom.words))), ",").cast("array<bigint>")  # folded to one literal
     found = F.lit(True)
     for p in _positions(key, len(bloom.words) * 64, bloom.hashes, bloom.level):
@@ -120,7 +120,7 @@ class Cascade:
         """Exact for every key of the universe that the cascade was built over."""
         answer = F.lit(len(self.levels) % 2 == 1)
         for i in range(len(self.levels) - 1, -1, -1):
-            answer = F.when(_holds(self.levels[i], key), answer).otherwise(F.lit(i % 2 == 1))
+            answer = F.when(holds(self.levels[i], key), answer).otherwise(F.lit(i % 2 == 1))
         return answer
 
 
@@ -147,11 +147,11 @@ def build_cascade(listed: DataFrame, universe: DataFrame, max_bytes: int = MAX_F
     held, n = tagged.where("l = 1").select("key"), inside
     other = tagged.where("l = 0").select("key")
     while n:
-        bloom = _build(held, n, rate if not levels else 0.5, len(levels) + 1, max_bytes)
+        bloom = build_bloom(held, n, rate if not levels else 0.5, len(levels) + 1, max_bytes)
         if bloom is None:
             return None
         levels.append(bloom)
-        wrong = other.where(_holds(bloom, F.col("key")))
+        wrong = other.where(holds(bloom, F.col("key")))
         held, other, n = wrong, held, wrong.count()
     return Cascade(tuple(levels))
 
