@@ -20,4 +20,5 @@ QUERIES = {
 ORACLES = {
     "op4_url_filter": url_filter.OP4_SQL,
     "op5_quality_rules": quality.OP5_SQL,
+    "op6_suffix_dedup": suffix_dedup.OP6_SQL,
 }
