@@ -183,6 +183,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str = public_tokenizers.PA
             for start, texts in groups(batch.column("text")):
                 ids = [np.frombuffer(b"".join(p), "<u4").astype("i4") for p in bpe.encode(texts)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, len(texts)), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+        Cache.rest(bpe.words, bpe.decoded)
 
     rows = _named(docs, id_col, text_col)
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
@@ -218,6 +219,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str = public_tokenizer
                 back = [sha(b"".join(map(decoded.__getitem__, p))) for p in encoded]
                 columns = [batch.column("doc_id").slice(start, len(texts)), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(sha, ids)), pa.array(back)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        Cache.rest(bpe.words, bpe.decoded)
 
     rows = _named(docs, id_col, text_col)
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

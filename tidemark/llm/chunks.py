@@ -7,7 +7,9 @@ stands, and its result can be kept.
 
 from __future__ import annotations
 
+import ctypes
 import re
+import weakref
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,7 +18,7 @@ _RUN = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 #: Texts are worked on in groups of about so many characters.
-GROUP_CHARS = 4_000_000
+GROUP_CHARS = 2_000_000
 
 
 def cut(text: str) -> list[str]:
@@ -43,10 +45,13 @@ class Cache:
     """What a worker keeps between groups, in two generations. `young` holds all that the present group needs; when it has
     grown past `limit` it becomes the old one, from which what is needed again comes back."""
 
+    every: weakref.WeakSet = weakref.WeakSet()
+
     def __init__(self, limit: int):
         self.limit = limit
         self.young: dict = {}
         self.old: dict = {}
+        Cache.every.add(self)
 
     def missing(self, wanted: set) -> list:
         """Call first in each group: makes room, and says what of `wanted` has to be worked out and put into `young`."""
@@ -57,3 +62,15 @@ class Cache:
         back = new.intersection(old)
         young.update((k, old[k]) for k in back)
         return list(new.difference(back))
+
+    @classmethod
+    def rest(cls, *used: Cache) -> None:
+        """At the end of a partition: what other operators left in this worker goes, and so do the old generations."""
+        for cache in list(cls.every):
+            cache.old = {}
+            if not any(cache is u for u in used):
+                cache.young = {}
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass

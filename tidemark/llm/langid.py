@@ -256,6 +256,7 @@ def _judged(rows: DataFrame, model: Model) -> DataFrame:
                 best, bits, score = scorer.judge(texts)
                 columns = [batch.column("doc_id").slice(start, len(texts)), pa.array(names[best], pa.string()), pa.array(bits), pa.array(score), pa.array(scorer.accepted(best, bits))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "best", "bits", "score", "accepted"])
+        Cache.rest(scorer.known)
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, best string, bits double, score double, accepted boolean")
 
@@ -280,6 +281,7 @@ def keep_accepted(docs: DataFrame, model: Model, text_col: str = "text") -> Data
             for start, texts in groups(batch.column(text_col)):
                 best, bits, _ = scorer.judge(texts)
                 yield batch.slice(start, len(texts)).filter(pa.array(scorer.accepted(best, bits)))
+        Cache.rest(scorer.known)
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -96,6 +96,7 @@ def tokenized(rows: DataFrame, path: str, capacity: int, end_id: int) -> DataFra
                 crcs = [[zlib.crc32(memoryview(x)[a : a + step]) for a in range(0, len(x), step)] for x in ids]
                 columns = [*(batch.column(c).slice(start, len(texts)) for c in ("doc_id", "__tm_key")), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(crcs, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "__tm_key", "n", "crcs"])
+        Cache.rest(_encoder(path).known)
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, __tm_key string, n long, crcs array<long>")
 
@@ -115,6 +116,7 @@ def _checksums(rows: DataFrame, path: str, end_id: int) -> DataFrame:
                     out += [(key, p["start"], p["length"], zlib.crc32(view[4 * p["start"] : 4 * (p["start"] + p["length"])])) for p in pieces]
                 columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ((),) * 4, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, ["k", "s", "l", "ids_crc32"])
+        Cache.rest(_encoder(path).known)
 
     return rows.mapInArrow(run, "k string, s long, l long, ids_crc32 long")
 

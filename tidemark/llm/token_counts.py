@@ -94,6 +94,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
                 counts += _held[path].count(texts)
             tokens = pa.array(counts, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n_bytes, tokens, pc.greater(tokens, limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+        Cache.rest(_held[path].chunks, _held[path].first)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
