@@ -312,3 +312,17 @@ def test_sample_suite(spark, tmp_path):
     names = spark.createDataFrame([("BTC", "Bitcoin"), ("ETH", "Ethereum"), ("SOL", "Solana")], "asset string, name string")
     joined = metrics.volume_by_name(spark.table("crypto_ohlcv"), names).collect()
     assert [r.name for r in joined] == ["Bitcoin", "Ethereum", "Solana"] and all(r.total_volume > 0 for r in joined)
+
+
+def test_addresses(tmp_path, monkeypatch, capsys):
+    from tidemark.__main__ import main
+
+    d = jdbc.from_uri("postgres://me:p%40ss@db:6000/sales")
+    assert d.url == "jdbc:postgresql://db:6000/sales" and d.options == {"user": "me", "password": "p@ss"}
+    assert jdbc.from_uri("host=h dbname=d user=u").url == "jdbc:postgresql://h:5432/d"
+    monkeypatch.chdir(tmp_path)
+    for k in config._KEYS:
+        monkeypatch.delenv(config.PREFIX + k.upper(), raising=False)
+    monkeypatch.delenv("DATABASE_URL", raising=False)
+    assert main(["query", "SELECT 1"]) == 2 and "configuration" in capsys.readouterr().err
+    assert main([]) == 2

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .cache import ResultCache, cacheable
+from .config import Config
 from .errors import NotReadOnlyError, UnsupportedTypeError
 from .functions import shims
-from .sources.jdbc import Database, register
+from .sources.jdbc import Database, from_uri, register
 from .sources.parquet import EVENTS_SCHEMA, parquet_view
 
 _READS = re.compile(r"\s*(select|with|values|show|describe|desc|explain|table|from)\b", re.IGNORECASE)
@@ -29,6 +30,15 @@ class Engine:
         self.tables: dict[str, T.StructType | None] = {}
         shims.register(spark)
 
+    @classmethod
+    def configured(cls, spark: SparkSession, settings: Config) -> Engine:
+        """With the sources and limits that the settings name."""
+        engine = cls(spark, ResultCache(settings.cache_max_entries, settings.cache_ttl_seconds))
+        engine.add_parquet("lake", settings.parquet_path)
+        engine.add_database(from_uri(settings.postgres_uri.reveal()), settings.postgres_schemas)
+        engine.publish_schema()
+        return engine
+
     def add_parquet(self, name: str, path: str, schema: T.StructType = EVENTS_SCHEMA) -> None:
         parquet_view(self.spark, path, schema, name)
         self.tables[name] = schema

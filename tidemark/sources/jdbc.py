@@ -10,6 +10,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -69,6 +70,17 @@ class Database:
         return [ColumnRecord(s, t, c, str(d).lower(), str(u).lower(), str(n).upper() in ("YES", "TRUE")) for s, t, _, c, d, u, n in cells]
 
 
+def from_uri(uri: str) -> Database:
+    """A JDBC address from a postgres:// one or from key=value pairs; the password travels as an option."""
+    if uri.startswith(("postgres://", "postgresql://")):
+        u = urlsplit(uri)
+        parts = {"host": u.hostname or "localhost", "port": str(u.port or 5432), "dbname": u.path.lstrip("/"), "user": unquote(u.username or ""), "password": unquote(u.password or "")}
+    else:
+        parts = dict(p.split("=", 1) for p in uri.split())
+    options = {k: parts[k] for k in ("user", "password") if parts.get(k)}
+    return Database(f"jdbc:postgresql://{parts.get('host', 'localhost')}:{parts.get('port', '5432')}/{parts.get('dbname', '')}", options=options)
+
+
 # Base tables only, so views are left out.
 COLUMNS = {
     "postgresql": (
