@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bloom import MAX_FILTER_BYTES, Bloom, build_bloom, holds
 from .common import materialize, read_table
 
 #: Fixed rules of the query: verdict, host, path.
@@ -36,9 +37,6 @@ LISTED = (
     "tracker.invalid",
 )
 
-#: Filters larger than this are not put into the plan; membership is then a join.
-MAX_FILTER_BYTES = 8 << 20
-
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -71,47 +69,6 @@ def domains_of(host: Column) -> Column:
     )
 
 
-@dataclass(frozen=True)
-class Bloom:
-    words: tuple[int, ...]
-    hashes: int
-    level: int
-
-
-def _positions(key: Column, bits: int, hashes: int, level: int) -> list[Column]:
-    low = F.lit((1 << 31) - 1)
-    a = F.xxhash64(key, F.lit(2 * level)).bitwiseAND(low)
-    b = F.xxhash64(key, F.lit(2 * level + 1)).bitwiseAND(low)
-    return [F.pmod(a + b * F.lit(j), F.lit(bits)).cast("long") for j in range(hashes)]
-
-
-def build_bloom(keys: DataFrame, n: int, rate: float, level: int = 1, max_bytes: int = MAX_FILTER_BYTES) -> Bloom | None:
-    """A filter over the n keys with that false positive rate; None if it would be too large."""
-    words = max(1, math.ceil(-n * math.log(rate) / math.log(2) ** 2 / 64))
-    if words * 8 > max_bytes:
-        return None
-    hashes = max(1, round(-math.log2(rate)))
-    set_bits = (
-        keys.select(F.explode(F.array(*_positions(F.col("key"), words * 64, hashes, level))).alias("p"))
-        .groupBy((F.col("p") / 64).cast("long").alias("w"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("v"))
-    )
-    held = {r["w"]: r["v"] for r in set_bits.toLocalIterator()}  # at most max_bytes / 8 rows
-    return Bloom(tuple(held.get(i, 0) for i in range(words)), hashes, level)
-
-
-def holds(bloom: Bloom, key: Column) -> Column:
-    words = F.split(F.lit(",".join(map(str, bloom.words))), ",").cast("array<bigint>")  # folded to one literal
-    found = F.lit(True)
-    for p in _positions(key, len(bloom.words) * 64, bloom.hashes, bloom.level):
-        found = found & (F.expr("1L").bitwiseAND(_shift(F.get(words, (p / 64).cast("int")), p)) == 1)
-    return found
-
-
-def _shift(word: Column, position: Column) -> Column:
-    return F.call_function("shiftrightunsigned", word, (position % 64).cast("int"))
-
-
 @dataclass(frozen=True)
 class Cascade:
     levels: tuple[Bloom, ...]
@@ -147,7 +104,7 @@ def build_cascade(listed: DataFrame, universe: DataFrame, max_bytes: int = MAX_F
     held, n = tagged.where("l = 1").select("key"), inside
     other = tagged.where("l = 0").select("key")
     while n:
-        bloom = build_bloom(held, n, rate if not levels else 0.5, len(levels) + 1, max_bytes)
+        bloom = build_bloom(held, n, rate if not levels else 0.5, len(levels) + 1, max_bytes, literal=True)
         if bloom is None:
             return None
         levels.append(bloom)
