@@ -28,6 +28,8 @@ from .common import read_table
 ORDER = 4
 #: Documents of each language that models are fitted on, a fifth of them for calibration.
 MAX_DOCS = 500
+#: Bits a letter that a text of one letter may lie above its language's limit.
+STRAY = 4.0
 CACHE = 300_000
 _LETTERS = regex.compile(r"\p{L}+")
 _START, _END = 2, 3  # stand for word ends; no letters
@@ -166,14 +168,14 @@ class Scorer:
     def __init__(self, model: Model):
         self.model, self.known = model, Cache(CACHE)
 
-    def judge(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The best language's number (-1: none), its cross-entropy in bits a letter, and the score."""
+    def judge(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The best language's number (-1: none), its cross-entropy in bits a letter, the score, and whether the text is accepted."""
         n = len(self.model.languages)
         parts = [_LETTERS.findall(t.lower()) for t in texts]
-        best, bits, score = np.full(len(texts), -1), np.zeros(len(texts)), np.zeros(len(texts))
+        best, bits, score, letters = np.full(len(texts), -1), np.zeros(len(texts)), np.zeros(len(texts)), np.ones(len(texts))
         seen = set().union(*parts)
         if not n or not seen:
-            return best, bits, score
+            return best, bits, score, self._accepted(best, bits, letters)
         new, known = self.known.missing(seen), self.known.young
         for a in range(0, len(new), 20_000):
             some = new[a : a + 20_000]
@@ -190,13 +192,14 @@ class Scorer:
         top = entropy.argmin(axis=1)
         low = entropy[np.arange(len(rows)), top]
         weight = np.minimum(sums[:, n], 40)[:, None]  # neighbouring letters are no independent evidence
-        best[rows], bits[rows] = top, low
+        best[rows], bits[rows], letters[rows] = top, low, sums[:, n]
         score[rows] = 1 / np.exp2((low[:, None] - entropy) * weight).sum(axis=1)
-        return best, bits, score
+        return best, bits, score, self._accepted(best, bits, letters)
 
-    def accepted(self, best: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    def _accepted(self, best: np.ndarray, bits: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """A short text's mean strays further, by the root of its letters."""
         limits = np.array([*(self.model.limits.get(x, np.inf) for x in self.model.languages), -np.inf])
-        return bits <= limits[best]
+        return bits - STRAY / np.sqrt(letters) <= limits[best]
 
 
 _held: dict[str, Scorer] = {}
@@ -217,8 +220,8 @@ def fold(id_column: Column) -> Column:
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_DOCS) -> Model:
     """Fit and calibrate on the labelled rows outside fold 0.
 
-    The limit of a language is its calibration documents' median cross-entropy plus four times the distance from there to
-    their 95th percentile, so that documents like them stay and texts of other kinds go. No labelled rows give an
+    The limit of a language is its calibration documents' median cross-entropy plus eight times the distance from there to
+    their 95th percentile, and a bit at least, so that documents like them stay and texts of other kinds go. No labelled rows give an
     empty model, which predicts nothing.
     """
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where((fold(F.col("i")) != 0) & F.col("l").isNotNull())
@@ -239,7 +242,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     model.limits = {}
     seen = _judged(sample.where("check").select(F.col("i").alias("doc_id"), F.col("t").alias("text")), model).where("best is not null")
     for r in seen.groupBy("best").agg(F.expr("percentile(bits, array(0.5, 0.95))").alias("q")).collect():
-        model.limits[r["best"]] = float(r["q"][0] + max(4 * (r["q"][1] - r["q"][0]), 0.5))
+        model.limits[r["best"]] = float(r["q"][0] + max(8 * (r["q"][1] - r["q"][0]), 1.0))
     model.tag = model.tag.replace("-raw", f"-{zlib.crc32(repr(sorted(model.limits.items())).encode())}")
     return model
 
@@ -253,8 +256,8 @@ def _judged(rows: DataFrame, model: Model) -> DataFrame:
         names = np.array([*scorer.model.languages, None], object)
         for batch in batches:
             for start, texts in groups(batch.column("text")):
-                best, bits, score = scorer.judge(texts)
-                columns = [batch.column("doc_id").slice(start, len(texts)), pa.array(names[best], pa.string()), pa.array(bits), pa.array(score), pa.array(scorer.accepted(best, bits))]
+                best, bits, score, accepted = scorer.judge(texts)
+                columns = [batch.column("doc_id").slice(start, len(texts)), pa.array(names[best], pa.string()), pa.array(bits), pa.array(score), pa.array(accepted)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "best", "bits", "score", "accepted"])
         Cache.rest(scorer.known)
 
@@ -279,8 +282,7 @@ def keep_accepted(docs: DataFrame, model: Model, text_col: str = "text") -> Data
         scorer = _scorer(held.value)
         for batch in batches:
             for start, texts in groups(batch.column(text_col)):
-                best, bits, _ = scorer.judge(texts)
-                yield batch.slice(start, len(texts)).filter(pa.array(scorer.accepted(best, bits)))
+                yield batch.slice(start, len(texts)).filter(pa.array(scorer.judge(texts)[3]))
         Cache.rest(scorer.known)
 
     return docs.mapInArrow(run, docs.schema)
