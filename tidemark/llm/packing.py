@@ -31,6 +31,7 @@ WASTE = 4
 #: Up to so many cut documents are sent to every executor; more are joined by a shuffle.
 SMALL = 20_000
 CACHE = 400_000
+WORD_END = "</w>"
 
 
 #: A mark between a letter and white space is a pre-token of its own.
@@ -50,16 +51,34 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        vocabulary = self.tokenizer.get_vocab()
+        self.final = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
+        self.final[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
         self.known = Cache(CACHE)
 
+    def _learn(self, chunks: list[str]) -> None:
+        """Chunks of letters are one word each, so a line of them is encoded at once and cut at the word ends; if a letter
+        turns out to be more than one word, and for all other chunks, each is encoded alone."""
+        known, alone = self.known.young, [c for c in chunks if not c.isalpha()]
+        words = [c for c in chunks if c.isalpha()]
+        for a in range(0, len(words), 2_000):
+            some = words[a : a + 2_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.final[ids]) + 1
+            if len(ends) != len(some):
+                alone += some
+                continue
+            raw, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+            known.update((w, raw[x:y]) for w, x, y in zip(some, cuts, cuts[1:], strict=False))
+        for a in range(0, len(alone), 20_000):
+            some = alone[a : a + 20_000]
+            for chunk, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                known[chunk] = np.array(e.ids, "<u4").tobytes()
+
     def encode(self, texts: list[str], end: bytes) -> list[bytes]:
         parts = [(t if _OTHER.search(t) else _MARK.sub(r" \1", t.lower())).replace("\n", " ").split(" ") for t in texts]
-        new = self.known.missing(set().union(*parts))
+        self._learn(self.known.missing(set().union(*parts)))
         known = self.known.young
-        for a in range(0, len(new), 20_000):
-            some = new[a : a + 20_000]
-            for chunk, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[chunk] = np.array(e.ids, "<u4").tobytes()
         return [b"".join(map(known.__getitem__, p)) + end for p in parts]
 
 
@@ -78,6 +97,8 @@ def _check_drops_space(path: str) -> None:
     with open(path) as f:
         spec = load(f)
     steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+    if spec["model"].get("end_of_word_suffix") != WORD_END:
+        raise ValueError(f"{path}: a tokenizer that marks word ends is needed")
     cased = {"type": "Lowercase"} not in (spec["normalizer"] or {}).get("normalizers", [])
     if cased or not steps or steps[0]["type"] != "Split" or steps[0]["behavior"] != "Removed" or not steps[0]["invert"]:
         raise ValueError(f"{path}: a tokenizer that drops white space and case is needed")
