@@ -40,6 +40,10 @@ _MARK = re.compile(r"([.,;:!?])(?<=[^\W\d_].)(?=[ \n]|\Z)")
 _OTHER = re.compile("[^\x00-\u012f\u0131-\u017f]|<\\|")
 
 
+def _plain(text: str) -> bool:
+    return "<|" not in text if text.isascii() else not _OTHER.search(text)
+
+
 class Encoder:
     """Ids of texts as little-endian 32-bit bytes. The tokenizer drops white space and case, so what stands between two
     spaces is encoded alike everywhere and kept; the library itself encodes what the cache misses."""
@@ -76,7 +80,7 @@ class Encoder:
                 known[chunk] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str], end: bytes) -> list[bytes]:
-        parts = [(t if _OTHER.search(t) else _MARK.sub(r" \1", t.lower())).replace("\n", " ").split(" ") for t in texts]
+        parts = [(_MARK.sub(r" \1", t.lower()) if _plain(t) else t).replace("\n", " ").split(" ") for t in texts]
         self._learn(self.known.missing(set().union(*parts)))
         known = self.known.young
         return [b"".join(map(known.__getitem__, p)) + end for p in parts]
