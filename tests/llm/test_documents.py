@@ -290,6 +290,39 @@ def test_near_duplicate_classes(docs, empty, spark, sf):
     assert {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.read.parquet(f"{sf}/documents.parquet")).collect()} == expected
 
 
+def spread(rng, text, n):
+    """`text` with n words of its own, each at another place."""
+    out = list(text)
+    for at in rng.choice(len(out), n, replace=False):
+        out[at] = f"w{rng.integers(1 << 60)}"
+    return out
+
+
+def test_near_duplicates_meet_in_full_buckets(spark):
+    rng = np.random.default_rng(4)
+    base, form = ([f"{c}{i}" for i in range(n)] for c, n in (("v", 200), ("t", 240)))
+    texts = [spread(rng, base, n) for n in rng.integers(2, 7, 300)]  # variants: some pairs are similar, most are nearly so
+    for _ in range(300):  # pairs over one form
+        own = form + [f"w{rng.integers(1 << 60)}" for _ in range(80)]
+        texts += [own, spread(rng, own, 4)]
+    texts = [" ".join(texts[i]) for i in rng.permutation(len(texts))]
+    sets = [sets_of(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if find(i) != find(j) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    assert {r.doc_id: r.class_id for r in minhash.near_duplicates(made).collect()} == {i: find(i) for i in range(len(texts))}
+
+
 def test_dart_signatures_agree_as_often_as_sets_do():
     rng = np.random.default_rng(3)
     a = np.unique(rng.integers(0, 1 << 60, 400).astype("u8"))

@@ -28,6 +28,8 @@ SIMILARITY = 0.8
 #: Two documents of similarity 0.8 share no band with chance (1 - 0.8 ** 5) ** 28 < 2e-5.
 BANDS, ROWS = 28, 5
 CACHE = 300_000
+#: Slots of the table that orders shingles from rare to frequent, and texts in a block of those with one shingle.
+SLOTS, BLOCK, MOST_BLOCKS = 1 << 20, 1000, 64
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -197,6 +199,65 @@ def _stars(members: DataFrame) -> DataFrame:
     return to_low.unionByName(to_high).distinct()
 
 
+def _rarity(sets: DataFrame) -> np.ndarray:
+    """For each slot of shingle hashes: 0 if one shingle of `sets` fell into it, more the more did. Its size is fixed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column("shingles"):
+                slot, n = np.unique(np.frombuffer(x.as_py(), "u8") % np.uint64(SLOTS), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(slot.astype("i4")), pa.array(n)], ["slot", "n"])
+
+    counts = sets.select("shingles").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS, "u1")
+    out[counts.column("slot").to_numpy()] = np.minimum(8 * np.log2(np.maximum(counts.column("n").to_numpy(), 1)), 255).astype("u1")
+    return out
+
+
+def _prefixes(sets: DataFrame, least: float, rarity: np.ndarray) -> DataFrame:
+    """key, root, size, rest and shingle: the rarest size - ceil(least * size) + 1 shingles of each set, of which two sets
+    that are similar share one, without those that no other set has; rest counts the shingles that are not among them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, x in enumerate(batch.column("shingles")):
+                x = np.frombuffer(x.as_py(), "u8")
+                rare = rarity[(x % np.uint64(SLOTS)).astype("i8")]
+                rest = math.ceil(least * len(x) - 1e-9) - 1
+                some = np.lexsort((x, rare))[: len(x) - rest]
+                some = x[some[rare[some] > 0]].view("i8")
+                at = pa.array(np.full(len(some), i))
+                size, left = pa.array(np.full(len(some), len(x), "i4")), pa.array(np.full(len(some), rest, "i4"))
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(at), batch.column("root").take(at), size, left, pa.array(some)], ["key", "root", "size", "rest", "shingle"])
+
+    return sets.select("key", "root", "shingles").mapInArrow(run, "key binary, root binary, size int, rest int, shingle long")
+
+
+def _across(held: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b), a > b, of texts (key, root) of different classes: all that can have that similarity.
+
+    Of two sets' rarest shingles (see _prefixes) c are common. Beyond the prefix that ends first in the order of rarity
+    its set has `rest` shingles at most to share, so the sets share c + the greater `rest` at most. Texts
+    with one shingle meet in blocks by pairs, those of one class as a list, so that no task holds a frequent shingle and
+    no pair within a class is made.
+    """
+    ours = materialize(sets.join(held, "key"), "minhash-held")
+    index = materialize(_prefixes(ours, least, _rarity(ours)), "minhash-prefixes")
+    blocks = F.least(F.lit(MOST_BLOCKS), F.ceil(F.count(F.lit(1)) / BLOCK)).cast("int").alias("blocks")
+    mixed = index.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), blocks).where("low < high").select(F.col("shingle").alias("s"), "blocks")
+    placed = index.join(mixed, F.col("shingle") == F.col("s"), "inner").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    packs = materialize(placed.groupBy("s", "blocks", "root", "block").agg(F.collect_list(F.struct("key", "size", "rest")).alias("texts")), "minhash-packs")
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = packs.select("s", F.col("root").alias("ra"), F.col("block").alias("i"), others.alias("j"), F.col("texts").alias("xs"))
+    right = packs.select("s", F.col("root").alias("rb"), F.col("block").alias("j"), others.alias("i"), F.col("texts").alias("ys"))
+    met = left.join(right, ["s", "i", "j"]).where("ra < rb").select("ys", F.explode("xs").alias("x")).select("x", F.explode("ys").alias("y"))
+    met = met.where(F.least("x.size", "y.size") >= least * F.greatest("x.size", "y.size") - 1e-9)
+    most = F.greatest("x.rest", "y.rest").alias("rest")
+    pairs = met.select(F.greatest("x.key", "y.key").alias("a"), F.least("x.key", "y.key").alias("b"), (F.col("x.size") + F.col("y.size")).alias("sizes"), most)
+    counted = pairs.groupBy("a", "b", "sizes", "rest").agg(F.count(F.lit(1)).alias("c"))
+    return counted.where(F.col("c") + F.col("rest") >= least / (1 + least) * F.col("sizes") - 1e-6).select("a", "b")
+
+
 def _bloom(keys: DataFrame) -> Bloom | None:
     n = keys.count()
     return build_bloom(keys.select("key"), n, 0.01) if n else None
@@ -212,8 +273,9 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
 
     Distinct texts are signed once and every band's bucket offers its members' pairs with its least and greatest member,
     so a bucket of n costs 2 n pairs, not n squared. Pairs that are checked and similar make classes. Members whose class
-    is not that of their bucket's ends are offered again among themselves, until no bucket is left with two
-    that have not been offered.
+    is not that of their bucket's least are offered again among themselves, as long as that offers pairs. Then the texts of
+    all buckets that still hold several classes go through `_across`, which leaves out only pairs that can't be similar,
+    so every pair of a bucket has been checked, excluded or found in one class.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null").withColumn("key", text_key(F.col("text")))
     signed = materialize(_signed(rows), "minhash-signed")
@@ -227,6 +289,11 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     one = wanted.where(F.col("doc_id").eqNullSafe(F.col("least"))).groupBy("key").agg(F.first("text").alias("text"))
     sets = materialize(_sets(one), "minhash-sets")
     links, offered, left, classes = None, None, members, None
+
+    def check(pairs: DataFrame) -> DataFrame:
+        with_sets = pairs.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a")
+        return materialize(_similar(with_sets, similarity), "minhash-links")
+
     while True:
         pairs = _stars(left)
         if offered is not None:
@@ -235,16 +302,21 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
         if not pairs.head(1):
             break
         offered = pairs if offered is None else offered.unionByName(pairs)
-        with_sets = pairs.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a")
-        found = materialize(_similar(with_sets, similarity), "minhash-links")
+        found = check(pairs)
         links = found if links is None else links.unionByName(found)
         classes = components(links, "minhash-classes")
         rooted = members.join(classes.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
         several = rooted.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("key").alias("first")).where("low < high")
         first = rooted.select(F.col("value").alias("fv"), F.col("key").alias("fk"), F.col("root").alias("fr"))
-        several = several.join(first, (F.col("value") == F.col("fv")) & (F.col("first") == F.col("fk")), "inner").select(F.col("value").alias("v"), "fr")
-        left = materialize(rooted.join(several, F.col("value") == F.col("v"), "inner").where("root != fr").select("key", "value"), "minhash-left")
-    return texts.drop("bands"), classes if classes is not None else texts.select(F.col("key").alias("node"), F.col("key").alias("root")).limit(0)
+        firsts = several.join(first, (F.col("value") == F.col("fv")) & (F.col("first") == F.col("fk")), "inner").select(F.col("value").alias("v"), "fr")
+        left = materialize(rooted.join(firsts, F.col("value") == F.col("v"), "inner").where("root != fr").select("key", "value"), "minhash-left")
+    if classes is None:
+        return texts.drop("bands"), texts.select(F.col("key").alias("node"), F.col("key").alias("root")).limit(0)
+    held = rooted.join(several.select(F.col("value").alias("v")), F.col("value") == F.col("v"), "left_semi").select("key", "root").distinct()
+    pairs = materialize(_across(held, sets, similarity).join(offered, ["a", "b"], "left_anti"), "minhash-pairs")
+    if pairs.head(1):
+        classes = components(links.unionByName(check(pairs)), "minhash-classes")
+    return texts.drop("bands"), classes
 
 
 def class_ids(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
