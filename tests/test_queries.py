@@ -46,3 +46,17 @@ def test_every_query_has_a_twin_and_the_entry_runs(spark):
     assert set(catalog.QUERIES) == set(catalog.ORACLES)
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("how", ["left", "right", "full"])
+def test_outer_joins_take_the_whole_tables(spark, duck, sf, how):
+    """Against the tables themselves, without the twin."""
+    customers = {k for (k,) in duck.sql("SELECT c_custkey FROM customer").fetchall()} | {-1}
+    orders = [*duck.sql("SELECT o_orderkey, o_custkey FROM orders").fetchall(), (-1, -2), (-2, None)]
+    want = [(c, o) for o, c in orders if c in customers]
+    if how != "right":
+        want += [(c, None) for c in customers - {c for _, c in orders}] + [(None, None)]
+    if how != "left":
+        want += [(None, o) for o, c in orders if c not in customers]
+    got = [tuple(r) for r in catalog.QUERIES[f"j4_{how}_join"](spark, sf).select("c_custkey", "o_orderkey").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)

@@ -204,10 +204,13 @@ def _(orders, customer):
 
 _VALUES = "(VALUES (1, 'a'), (2, 'b'), (CAST(NULL AS INT), 'c')) AS {0}(k, v)"
 sql_query("j3_null_keys", f"SELECT l.v AS lv, r.v AS rv FROM (SELECT * FROM {_VALUES.format('x')}) l JOIN (SELECT * FROM {_VALUES.format('y')}) r ON l.k = r.k")
+# The whole tables, and keys that the other side lacks.
+_CUSTOMERS = "(SELECT c_custkey FROM customer UNION ALL SELECT k FROM (VALUES (CAST(-1 AS BIGINT)), (CAST(NULL AS BIGINT))) AS x(k))"
+_ORDERS = "(SELECT o_orderkey, o_custkey FROM orders UNION ALL SELECT k, v FROM (VALUES (CAST(-1 AS BIGINT), CAST(-2 AS BIGINT)), (CAST(-2 AS BIGINT), CAST(NULL AS BIGINT))) AS y(k, v))"
 for _name, _how in {"left": "LEFT", "right": "RIGHT", "full": "FULL OUTER"}.items():
     sql_query(
         f"j4_{_name}_join",
-        f"SELECT c.c_custkey, o.o_orderkey FROM (SELECT * FROM customer WHERE c_custkey % 3 = 0) c {_how} JOIN (SELECT * FROM orders WHERE o_orderkey % 7 = 0) o ON c.c_custkey = o.o_custkey",
+        f"SELECT c.c_custkey, o.o_orderkey FROM {_CUSTOMERS} c {_how} JOIN {_ORDERS} o ON c.c_custkey = o.o_custkey",
         None,
         "customer", "orders",
     )
