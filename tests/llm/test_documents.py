@@ -165,6 +165,17 @@ def test_a_bad_host_goes_and_a_good_one_stays(spark):
     assert (0, False, False) in report and (7, False, True) in report
 
 
+def test_rare_hosts_are_joined_too(spark, monkeypatch):
+    monkeypatch.setattr(quality, "HOT_PART", 3)
+    good = " ".join(f"w{i}" for i in range(80))
+    data = [(i, good if i % 7 else "short", None if i % 5 == 4 else "big" if i % 2 else f"s{i % 40}") for i in range(400)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    monkeypatch.setattr(quality, "HOT_PART", 10_000)
+    every = sorted(map(tuple, quality.quality_report(df).collect()))
+    monkeypatch.setattr(quality, "HOT_PART", 3)
+    assert sorted(map(tuple, quality.quality_report(df).collect())) == every and len(every) == 400
+
+
 def test_sharding_moves_rows_only_into_the_new_shard(docs, empty, spark):
     out = sharding.shard_documents(docs, sharding.founding_tree(40)).collect()
     assert len(out) == len(pairs())

@@ -19,15 +19,15 @@ def judge(url):
 URLS = [
     None, "", "no scheme", "http://", "http://A.Example.NET/en/x?y#z", "https://example.net", "https://example.net/en/", "https://xexample.net/en/",
     "https://sub.example.com/de/1", "https://example.org/fr/2#q", "https://adult-x.example.com/x", "https://a.b.adult-x.example.com", "ftp://É.ORG/fr/",
+    "https://" + "a." * 500_000 + "adult-x.example.com/" + "p" * 1000, "https://" + "b." * 30_000 + "net",
     "https://x.net?u=http://example.org/fr/", "https://multi\nline.org/fr/a", "https://a" + ".b" * 100 + ".net/", "https://adult-x.example.com/x",
 ]
 
 
-@pytest.mark.parametrize("limit", [url_filter.MAX_FILTER_BYTES, 0])
-def test_urls(spark, limit):
+def test_urls(spark):
     df = spark.createDataFrame([(i, u, "h", "v") for i, u in enumerate(URLS)], "page_id long, url string, host string, key string")
-    listed = spark.createDataFrame([("adult-x.example.com",), ("nowhere.test",), (None,)], "key string")
-    out = {r.page_id: r for r in url_filter.filter_urls(df, listed, max_bytes=limit).collect()}
+    listed = spark.createDataFrame([("adult-x.example.com",), ("nowhere.test",), ("",), (None,), ("a.b." + "c." * 2000 + "test",)], "key string")
+    out = {r.page_id: r for r in url_filter.filter_urls(df, listed).collect()}
     for i, u in enumerate(URLS):
         host, path = judge(u)
         fit = [(len(h + p), h + p, v) for v, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
@@ -35,6 +35,24 @@ def test_urls(spark, limit):
         rule, verdict = (max(fit)[1:]) if fit else (None, "block" if hit else "allow")
         assert (out[i].host, out[i].path, out[i].rule, out[i].verdict, out[i].listed) == (host, path, rule, verdict, hit), u
     assert url_filter.filter_urls(df.limit(0), listed).count() == 0
+    assert not url_filter.filter_urls(df, listed.limit(0)).where("listed").count()
+    with pytest.raises(ValueError):
+        url_filter.filter_urls(df, listed, max_bytes=0)
+
+
+def test_a_rules_host_that_is_listed_too(spark):
+    df = spark.createDataFrame([(1, "http://a.org/x"), (2, "http://org/fr/x"), (3, "http://b.com/")], "page_id long, url string")
+    out = {r.page_id: (r.rule, r.verdict, r.listed) for r in url_filter.filter_urls(df, spark.createDataFrame([("org",)], "key string")).collect()}
+    assert out == {1: (None, "block", True), 2: ("org/fr/", "allow", True), 3: (None, "allow", False)}
+
+
+def test_a_list_of_thousands_from_the_pages(spark):
+    data = [(i, f"http{'s' * (i % 3)}://{'m.' * (i % 2)}h{i % 4001}.d{i % 97}.example.com/{i}") for i in range(30_000)]
+    df = spark.createDataFrame(data, "page_id long, url string")
+    bad = {judge(u)[0] for _, u in data if u.startswith("http://m.")}
+    assert len(bad) > 2000
+    out = url_filter.filter_urls(df, url_filter.plain_mirrors(df)).collect()
+    assert all(r.listed == any(".".join(r.host.split(".")[k:]) in bad for k in range(5)) for r in out) and len(out) == len(data)
 
 
 def test_the_cascade_is_exact_over_its_universe(spark):

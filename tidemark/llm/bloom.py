@@ -12,11 +12,12 @@ from .common import materialize
 
 #: Filters larger than this are not put into a plan.
 MAX_FILTER_BYTES = 8 << 20
+CHUNK = 4096
 
 
 @dataclass(frozen=True)
 class Bloom:
-    """`words`: an array of 64-bit words as a literal or a scalar subquery."""
+    """`words`: an array of 64-bit words as a scalar subquery."""
 
     words: Column
     bits: int
@@ -31,11 +32,11 @@ def _positions(key: Column, bits: int, hashes: int, level: int) -> list[Column]:
     return [F.pmod(a + b * F.lit(j), F.lit(bits)).cast("long") for j in range(hashes)]
 
 
-def build_bloom(keys: DataFrame, n: int, rate: float, level: int = 1, max_bytes: int = MAX_FILTER_BYTES, literal: bool = False) -> Bloom | None:
+def build_bloom(keys: DataFrame, n: int, rate: float, level: int = 1, max_bytes: int = MAX_FILTER_BYTES) -> Bloom | None:
     """A filter over the n keys (column `key`) with that false positive rate; None if it would be too large.
 
-    Its words are a scalar subquery over a written table of one row, so that plans stay small; as a `literal` they can stand
-    inside the functions that higher-order functions take.
+    Its words are a scalar subquery over a written table of one row, so that plans stay small. They are put together in chunks,
+    so that the task that makes the row holds arrays and not one object for each word.
     """
     size = max(1, math.ceil(-n * math.log(rate) / math.log(2) ** 2 / 64))
     if size * 8 > max_bytes:
@@ -47,12 +48,10 @@ def build_bloom(keys: DataFrame, n: int, rate: float, level: int = 1, max_bytes:
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("v"))
     )
     every = keys.sparkSession.range(size).join(set_bits, F.col("id") == F.col("w"), "left")
-    row = every.agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("v", F.lit(0).cast("long")).alias("v")))).alias("s")).select(F.col("s.v").alias("words"))
-    if literal:
-        words = F.split(F.lit(",".join(map(str, row.first()["words"]))), ",").cast("array<bigint>")  # folded to one literal
-    else:
-        words = materialize(row, "bloom").scalar()
-    return Bloom(words, size * 64, hashes, level)
+    words = F.sort_array(F.collect_list(F.struct("id", F.coalesce("v", F.lit(0).cast("long")).alias("v"))))
+    chunks = every.groupBy((F.col("id") / CHUNK).cast("long").alias("c")).agg(words.alias("s")).select("c", F.col("s.v").alias("v"))
+    row = chunks.agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("s")).select(F.flatten("s.v").alias("words"))
+    return Bloom(materialize(row, "bloom").scalar(), size * 64, hashes, level)
 
 
 def holds(bloom: Bloom, key: Column) -> Column:

@@ -10,12 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, read_table
+from .common import materialize, read_table
 
 #: A host is rejected when its shrunk failure rate exceeds this: nearly all its documents fail.
 HOST_LIMIT = 0.9
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
+#: A host with more than this part of all rows is hot.
+HOT_PART = 10_000
 
 _SPACE = r"[\x20\x09-\x0D]+"
 
@@ -97,17 +99,21 @@ def host_verdicts(rows: DataFrame, host_col: str, limit: float = HOST_LIMIT) ->
 
 
 def judged(rows: DataFrame, host_col: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
-    """Add __tm_kept to measured rows, which must be a written table as they are read twice.
+    """Add __tm_kept to measured rows, which must be a written table as they are read more than once.
 
-    A hot host's rows are dealt over salts; its one verdict is copied to each salt. A null host is a host.
+    The verdicts on hosts with over 1 / HOT_PART of all rows, of which there are fewer than HOT_PART, are broadcast, so that their rows stay
+    where they are; the rows of all other hosts are joined by host once. A null host is a host.
     """
-    n = partitions(rows.sparkSession)
-    verdicts = host_verdicts(rows, host_col, limit).select(
-        "__tm_host", F.col("rejected").alias("__tm_rejected"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("__tm_vs")
-    )
-    salted = rows.withColumn("__tm_salt", F.pmod(F.xxhash64("__tm_words", "__tm_chars", "__tm_symbols", "__tm_repeat"), F.lit(n)).cast("int"))
-    on = [F.col("__tm_salt") == F.col("__tm_vs"), F.col(host_col).eqNullSafe(F.col("__tm_host"))]
-    return salted.join(verdicts, on, "inner").withColumn("__tm_kept", ~F.col("__tm_failed") & ~F.col("__tm_rejected"))
+    verdicts = materialize(host_verdicts(rows, host_col, limit).select("__tm_host", "docs", F.col("rejected").alias("__tm_rejected")), "quality-hosts")
+    total = verdicts.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("n")).first()["n"]
+    often = F.col("docs") * HOT_PART > total
+    hot, rest = verdicts.where(often).drop("docs"), verdicts.where(~often).drop("docs")
+    on = F.col(host_col).eqNullSafe(F.col("__tm_host"))
+    out = rows.join(F.broadcast(hot), on, "inner")
+    if rest.head(1):
+        others = rows.join(F.broadcast(hot.select("__tm_host")), on, "left_anti")
+        out = out.unionByName(others.join(rest, on, "inner"))
+    return out.withColumn("__tm_kept", ~F.col("__tm_failed") & ~F.col("__tm_rejected"))
 
 
 def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -126,7 +132,10 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of documents that pass, with all their columns; texts are carried along, so rows need no key."""
+    """The rows of documents that pass, with all their columns; texts are carried along, so rows need no key.
+
+    Null and empty texts have no words and go; each of repeated rows is judged alike; a null source is a host.
+    """
     rows = materialize(measured(docs), "quality-docs")
     return judged(rows).where("__tm_kept").select(*docs.columns)
 

@@ -4,7 +4,7 @@ The corpus's key universe (every host of a url and each of its parent domains) i
 can be answered exactly from Bloom filters alone. Level 1 holds the listed keys; level 2 the keys of
 the universe that level 1 takes for listed but are not; level 3 the listed keys that level 2 takes
 for those; and so on until a level makes no error. A key is listed if the first level that does not
-hold it is an even one. The filters are bounded literals in the plan: probing needs no join.
+hold it is an even one. The filters are scalar values in the plan: probing needs no join.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bloom import MAX_FILTER_BYTES, Bloom, build_bloom, holds
+from .bloom import Bloom, build_bloom, holds
 from .common import materialize, read_table
 
 #: Fixed rules of the query: verdict, host, path.
@@ -27,15 +27,8 @@ RULES = (
     ("allow", "org", "/fr/"),
 )
 
-#: Keys that the query lists: hosts to block with all their subdomains.
-LISTED = (
-    "adult-x.example.com",
-    "casino.example.com",
-    "malware.example.org",
-    "ththhe.example.com",
-    "m.ththin.example.org",
-    "tracker.invalid",
-)
+#: A filter level beyond this (some hundred million listed hosts) is not put into a plan.
+MOST_FILTER_BYTES = 128 << 20
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -60,13 +53,15 @@ def matched_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str
     return rule, verdict
 
 
-def domains_of(host: Column) -> Column:
-    """The host and each parent domain, longest first; empty for an empty host."""
-    labels = F.split(host, r"\.")
-    n = F.size(labels)
-    return F.when(host == "", F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n), "."))
-    )
+def labels_of(name: Column) -> Column:
+    return F.size(F.split(name, r"\."))
+
+
+def domains_of(host: Column, depths: Sequence[int]) -> list[Column]:
+    """For each depth the domain of so many last labels, null for hosts with fewer and for an empty host. Each costs time in
+    proportion to the host, however many labels that has."""
+    n = labels_of(host)
+    return [F.when((host != "") & (n >= d), F.substring_index(host, ".", -d)) for d in depths]
 
 
 @dataclass(frozen=True)
@@ -81,11 +76,11 @@ class Cascade:
         return answer
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame, max_bytes: int = MAX_FILTER_BYTES) -> Cascade | None:
+def build_cascade(listed: DataFrame, universe: DataFrame, max_bytes: int = MOST_FILTER_BYTES) -> Cascade:
     """`listed` and `universe` have a column `key`; nulls are left out and repeats are harmless.
 
     One aggregation tags each distinct key; each level then takes one pass over the keys that are still
-    in error. None if a filter would exceed `max_bytes`.
+    in error. A list too large for `max_bytes` is refused.
     """
     tagged = (
         universe.select("key", F.lit(0).alias("l"))
@@ -104,9 +99,9 @@ def build_cascade(listed: DataFrame, universe: DataFrame, max_bytes: int = MAX_F
     held, n = tagged.where("l = 1").select("key"), inside
     other = tagged.where("l = 0").select("key")
     while n:
-        bloom = build_bloom(held, n, rate if not levels else 0.5, len(levels) + 1, max_bytes, literal=True)
+        bloom = build_bloom(held, n, rate if not levels else 0.5, len(levels) + 1, max_bytes)
         if bloom is None:
-            return None
+            raise ValueError(f"a filter of {n} keys is larger than {max_bytes} bytes")
         levels.append(bloom)
         wrong = other.where(holds(bloom, F.col("key")))
         held, other, n = wrong, held, wrong.count()
@@ -119,51 +114,66 @@ def filter_urls(
     rules: Sequence[tuple[str, str, str]] = RULES,
     id_col: str = "page_id",
     url_col: str = "url",
-    max_bytes: int = MAX_FILTER_BYTES,
+    max_bytes: int = MOST_FILTER_BYTES,
 ) -> DataFrame:
     """Judge every url: the longest rule that fits decides, else the list (column `key`: a host that is
     blocked with its subdomains).
 
+    The cascade holds the listed hosts and the rules' hosts. A url of whose domains it holds none is allowed as it is; where it
+    holds a rule's host, the rules are compared one by one.
+
     Returns page_id, host, path, rule (null if none fits), verdict and listed. A null url and one without
-    `://` have an empty host and path, match no rule and are allowed. Repeated rows stay. If the
-    list is too large for filters in the plan, a semi-join on the distinct keys answers instead.
+    `://` have an empty host and path, match no rule and are allowed. Repeated rows stay; other columns don't matter. Empty
+    tables give no rows, an empty list lists nothing.
     """
-    url = F.col(url_col)
+    spark, url = pages.sparkSession, F.col(url_col)
     rows = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
-    universe = rows.groupBy("host").agg(F.lit(1).alias("one")).select(F.explode(domains_of(F.col("host"))).alias("key"))
-    cascade = build_cascade(listed, universe, max_bytes)
-    if cascade is None:
-        hosts = rows.groupBy("host").agg(F.lit(1).alias("one")).select("host", F.explode(domains_of(F.col("host"))).alias("key"))
-        bad = hosts.join(listed.select("key"), "key", "left_semi").groupBy("host").agg(F.lit(True).alias("__tm_hit"))
-        rows = rows.join(bad, "host", "left").withColumn("listed", F.coalesce("__tm_hit", F.lit(False)))
-    else:
-        rows = rows.withColumn("listed", F.exists(domains_of(F.col("host")), cascade.listed))
+    names = sorted({r[1] for r in rules})
+    of_rules = spark.range(1).select(F.explode(F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")).alias("key"))
+    keys = listed.select("key").where("key is not null and key <> ''").unionByName(of_rules)
+    # Only domains with as many labels as some key can be one; a host name has 127 labels at most.
+    depths = sorted(r["d"] for r in keys.select(labels_of(F.col("key")).alias("d")).distinct().collect())
+    both = {r["key"] for r in listed.where(F.col("key").isin(names)).select("key").distinct().collect()}
+    universe = rows.groupBy("host").agg(F.lit(1).alias("one")).select(F.explode(F.array(*domains_of(F.col("host"), depths))).alias("key"))
+    cascade = build_cascade(keys, universe, max_bytes)
+    ruled, hit = F.lit(False), F.lit(False)
+    for domain in domains_of(F.col("host"), depths):
+        known = domain.isNotNull() & cascade.listed(domain)
+        ruled = ruled | (known & domain.isin(names))
+        hit = hit | (known & (~domain.isin(names) | domain.isin(sorted(both))))
     rule, verdict = matched_rule(F.col("host"), F.col("path"), rules)
-    return rows.select(
-        "page_id", "host", "path", rule.alias("rule"),
-        F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "listed",
+    judged = rows.withColumn("listed", F.coalesce(hit, F.lit(False))).withColumn("__tm_ruled", F.coalesce(ruled, F.lit(False)))
+    return judged.select(
+        "page_id", "host", "path", F.when(F.col("__tm_ruled"), rule).alias("rule"),
+        F.coalesce(F.when(F.col("__tm_ruled"), verdict), F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "listed",
     )
 
 
+def plain_mirrors(pages: DataFrame) -> DataFrame:
+    """A list taken from the pages by a rule: mobile mirrors (hosts `m.` something) that serve a page without encryption."""
+    url = F.col("url")
+    return pages.where(url.startswith("http://")).select(host_of(url).alias("key")).where(F.col("key").startswith("m.")).distinct()
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = spark.range(1).select(F.explode(F.array(*map(F.lit, LISTED))).alias("key"))
-    return filter_urls(read_table(spark, sf_dir, "pages"), listed)
+    pages = read_table(spark, sf_dir, "pages")
+    return filter_urls(pages, plain_mirrors(pages))
 
 
-_LIST_SQL = ", ".join(f"'{k}'" for k in LISTED)
 OP4_SQL = f"""
 WITH u AS (
-  SELECT page_id,
+  SELECT page_id, url,
          coalesce(translate(regexp_extract(url, '^(.*?)://([^/?#]*)', 2, 's'), '{_UPPER}', '{_LOWER}'), '') AS host,
          coalesce(regexp_extract(url, '^(.*?)://([^/?#]*)([^?#]*)', 3, 's'), '') AS path
   FROM pages),
 rules(verdict, h, p) AS (VALUES {", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)}),
 fit AS (
   SELECT u.page_id, u.host, u.path, r.h || r.p AS rule, r.verdict
-  FROM (SELECT DISTINCT * FROM u) u JOIN rules r ON (u.host = r.h OR ends_with(u.host, '.' || r.h)) AND starts_with(u.path, r.p)
+  FROM (SELECT DISTINCT page_id, host, path FROM u) u JOIN rules r ON (u.host = r.h OR ends_with(u.host, '.' || r.h)) AND starts_with(u.path, r.p)
   QUALIFY row_number() OVER (PARTITION BY u.page_id, u.host, u.path ORDER BY length(r.h || r.p) DESC) = 1),
 hit AS (
-  SELECT DISTINCT u.host FROM u JOIN (SELECT unnest([{_LIST_SQL}]) AS k) ON u.host = k OR ends_with(u.host, '.' || k))
+  SELECT DISTINCT h.host FROM (SELECT DISTINCT host FROM u) h
+  JOIN (SELECT DISTINCT host AS k FROM u WHERE starts_with(url, 'http://') AND starts_with(host, 'm.')) ON h.host = k OR ends_with(h.host, '.' || k))
 SELECT u.page_id, u.host, u.path, f.rule,
        coalesce(f.verdict, CASE WHEN hit.host IS NULL THEN 'allow' ELSE 'block' END) AS verdict,
        hit.host IS NOT NULL AS listed
