@@ -210,6 +210,21 @@ def test_numbers_are_gapless(spark):
     assert sorted(r.n for r in numbered(df, [], ["x"], "n").collect()) == list(range(500))
 
 
+def test_repeated_rows_are_numbered_apart(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tidemark.llm import common
+
+    monkeypatch.setattr(common, "COPIES", 7)
+    df = spark.createDataFrame([(None if i % 5 == 0 else i % 3, 1 if i < 400 else i) for i in range(600)], "g int, x int")
+    by = collections.defaultdict(list)
+    for r in numbered(df, ["g"], ["x"], "n").collect():
+        by[r.g].append(r.n)
+    assert all(sorted(v) == list(range(len(v))) for v in by.values()) and sum(map(len, by.values())) == 600
+    at = sorted((r.n, r.x) for r in common.before(df, [], ["x"], F.col("x"), "n").collect())
+    assert at[0][0] == 0 and all(b[0] == a[0] + a[1] for a, b in zip(at, at[1:], strict=False)) and len(at) == 600
+
+
 def brute_repeats(data):
     first = {}
     for i, t in data:
@@ -301,6 +316,36 @@ def test_near_duplicate_classes(docs, empty, spark, sf):
     assert {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.read.parquet(f"{sf}/documents.parquet")).collect()} == expected
 
 
+def test_shared_and_missing_ids_lose_no_text(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    for ids in ((None,) * 4, (5,) * 4, (None, 5, 5, None)):
+        data = [(i, t, n) for n, (i, t) in enumerate(zip(ids, (a, a, b, b), strict=True))] + [(None, None, 9), (5, "", 10), (7, c, 11), (7, c, 12)]
+        df = spark.createDataFrame(data, "doc_id long, text string, root int")
+        assert sorted(str(r.text) for r in minhash.keep_first(df).collect()) == sorted(map(str, (a, b, c, "", None)))
+        out = minhash.near_duplicates(df).collect()
+        assert len(out) == len(data) and sum(r.kept for r in out) == 5
+        by = collections.Counter(r.class_key for r in out if r.kept)
+        assert by.pop(None) == 2 and set(by.values()) == {1} and len(by) == 3
+        assert sorted((r.class_id, r.class_rows) for r in out if r.kept and r.doc_id == 7) == [(7, 2)]
+
+
+def test_counts_as_weights(spark):
+    rng = np.random.default_rng(11)
+    lines = [" ".join(f"w{rng.integers(1 << 40)}" for _ in range(7)) for _ in range(6)]
+    texts = [" \n ".join(lines[i] for i in rng.integers(0, 6, 30)) for _ in range(80)]
+    texts += [t + " \n " + lines[0] for t in texts[:20]]
+    bags = [collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if (bags[i] & bags[j]).total() >= 0.8 * (bags[i] | bags[j]).total():
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    assert 1 < len(set(root)) < len(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    assert {r.doc_id: r.class_id for r in minhash.near_duplicates(df, weighted=True).collect()} == dict(enumerate(root))
+
+
 def spread(rng, text, n):
     """`text` with n words of its own, each at another place."""
     out = list(text)

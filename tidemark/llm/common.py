@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,11 +12,14 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a folder of our own only where none is set."""
+    """The shared folder of the cluster. Where none is set, a local session gets a folder of its own; a cluster is refused, as
+    its executors don't share local folders."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -33,6 +37,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame | None) -> None:
+    """Delete materialized tables that nothing will read any more."""
+    for df in tables:
+        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()} if df is not None else ():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     """The shuffle width that the cluster is set to."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
@@ -53,19 +65,35 @@ def before(df: DataFrame, group: list[str], order: list[str], value: Column, nam
 
     No task holds a whole group: each is dealt over buckets by a hash of the ordering columns; sums run within
     (group, bucket), and a bucket's offset is the sum of the group's earlier buckets, which needs one small row for each
-    group and bucket. The order is by bucket, then by the ordering columns; repeated rows stand in any order.
+    group and bucket. Repeated rows, which have one hash, are counted before they are dealt and written out at the end. The
+    order is by bucket, then by the ordering columns; repeated rows stand in any order.
     """
-    n = partitions(df.sparkSession)
-    dealt = df.withColumn("__tm_b", F.pmod(F.xxhash64(*order), F.lit(n)).cast("int")).withColumn("__tm_v", value.cast("long"))
+    n, names = partitions(df.sparkSession), df.columns
+    counted = df.withColumn("__tm_v", value.cast("long")).groupBy(*names, "__tm_v").agg(F.count(F.lit(1)).alias("__tm_n"))
+    dealt = counted.withColumn("__tm_b", F.pmod(F.xxhash64(*order), F.lit(n)).cast("int"))
+    weight = F.col("__tm_v") * F.col("__tm_n")
     keys = [F.col(g).alias(f"__tm_g{i}") for i, g in enumerate(group)]
     named = [f"__tm_g{i}" for i in range(len(group))]
-    sums = dealt.groupBy(*keys, F.col("__tm_b").alias("__tm_o")).agg(F.sum("__tm_v").alias("__tm_t"))
+    sums = dealt.groupBy(*keys, F.col("__tm_b").alias("__tm_o")).agg(F.sum(weight).alias("__tm_t"))
     earlier = W.partitionBy(*(named or [F.lit(0)])).orderBy("__tm_o").rowsBetween(W.unboundedPreceding, -1)
     offsets = sums.withColumn("__tm_s", F.coalesce(F.sum("__tm_t").over(earlier), F.lit(0))).drop("__tm_t")
     local = W.partitionBy(*group, "__tm_b").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     on = [F.col("__tm_b") == F.col("__tm_o"), *[F.col(g).eqNullSafe(F.col(k)) for g, k in zip(group, named, strict=True)]]
-    out = dealt.withColumn("__tm_l", F.coalesce(F.sum("__tm_v").over(local), F.lit(0))).join(offsets, on, "inner")
-    return out.withColumn(name, F.col("__tm_l") + F.col("__tm_s")).drop("__tm_b", "__tm_v", "__tm_o", "__tm_s", "__tm_l", *named)
+    out = dealt.withColumn("__tm_l", F.coalesce(F.sum(weight).over(local), F.lit(0))).join(offsets, on, "inner")
+    placed = out.select(*names, "__tm_v", "__tm_n", (F.col("__tm_l") + F.col("__tm_s")).alias("__tm_a"))
+    return repeated(placed, "__tm_n", "__tm_i").select(*names, (F.col("__tm_a") + F.col("__tm_i") * F.col("__tm_v")).alias(name))
+
+
+#: Copies of one row that a generator makes at once.
+COPIES = 10_000
+
+
+def repeated(df: DataFrame, count: str, index: str) -> DataFrame:
+    """Each row as often as its `count` says, with a number from 0 as `index`."""
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / COPIES)))
+    many = df.withColumn("__tm_p", parts)
+    start = F.col("__tm_p") * COPIES
+    return many.withColumn(index, F.explode(F.sequence(start, F.least(F.col(count), start + COPIES) - 1))).drop("__tm_p")
 
 
 def numbered(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -31,7 +31,8 @@ def components(edges: DataFrame, name: str = "components", most: int = 60) -> Da
     held = materialize(held, name)
     state = None
     for _ in range(most):
-        held = materialize(_star(_star(held, small=False), small=True), name)
+        last, held = held, materialize(_star(_star(held, small=False), small=True), name)
+        discard(last)
         now = held.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             return held.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(held.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

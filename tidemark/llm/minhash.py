@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .bloom import Bloom, build_bloom, holds
 from .chunks import Cache, groups
-from .common import materialize, read_table
+from .common import discard, materialize, read_table, repeated
 from .components import components
 
 SHINGLE = 5
@@ -56,24 +56,41 @@ def _word_hashes(parts: list[list[str]]) -> np.ndarray:
     return np.fromiter((known[w] for p in parts for w in p), "u8", sum(map(len, parts)))
 
 
-def shingles(texts: list[str], width: int = SHINGLE) -> list[np.ndarray]:
-    """The sorted 64-bit hashes of each text's distinct runs of `width` words (between white space); a shorter text with
-    words has one shingle, all of it."""
+def _runs(texts: list[str], width: int = SHINGLE) -> Iterator[np.ndarray]:
+    """The 64-bit hashes of each text's runs of `width` words (between white space) in the order of the text; a shorter text
+    with words has one, all of it."""
     parts = [t.split() for t in texts]
     flat = _word_hashes(parts)
-    out, at = [], 0
+    at = 0
     for p in parts:
         h = flat[at : at + len(p)]
         at += len(p)
         if not len(h):
-            out.append(np.zeros(0, "u8"))
+            yield np.zeros(0, "u8")
             continue
         k = min(width, len(h))
         s = np.full(len(h) - k + 1, k, "u8")
         for i in range(k):
             s = _mix(s * _A + h[i : len(h) - k + 1 + i])
-        out.append(np.unique(s))
-    return out
+        yield s
+
+
+def shingles(texts: list[str], width: int = SHINGLE) -> list[np.ndarray]:
+    """The sorted hashes of each text's distinct runs."""
+    return [np.unique(s) for s in _runs(texts, width)]
+
+
+def counted_shingles(texts: list[str], width: int = SHINGLE) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The same, and how often each stands in the text."""
+    both = [np.unique(s, return_counts=True) for s in _runs(texts, width)]
+    return [s for s, _ in both], [n.astype(float) for _, n in both]
+
+
+def spread_out(shingle: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """A set in which a shingle of count n stands for n members, so that plain Jaccard similarity of such sets is the weighted one."""
+    n = count.astype(int)
+    number = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.sort(np.where(number == 0, np.repeat(shingle, n), _mix(np.repeat(shingle, n) * _A + number.astype("u8"))))
 
 
 def dart_signatures(sets: list[np.ndarray], weights: list[np.ndarray] | None = None, k: int = BANDS * ROWS, seed: int = 1) -> np.ndarray:
@@ -133,17 +150,17 @@ def band_hashes(signatures: np.ndarray, bands: int = BANDS, rows: int = ROWS) ->
     return out.view("i8")
 
 
-def _signed(rows: DataFrame) -> DataFrame:
+def _signed(rows: DataFrame, weighted: bool) -> DataFrame:
     """key and bands of rows of key and text; rows without a word are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, texts in groups(batch.column("text")):
-                sets = shingles(texts)
+                sets, weights = counted_shingles(texts) if weighted else (shingles(texts), None)
                 at = np.array([i for i, s in enumerate(sets) if len(s)], int)
                 for a in range(0, len(at), 256):
                     some = at[a : a + 256]
-                    bands = band_hashes(dart_signatures([sets[i] for i in some]))
+                    bands = band_hashes(dart_signatures([sets[i] for i in some], weights and [weights[i] for i in some]))
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * BANDS, pa.int32()), pa.array(bands.ravel()))
                     key = batch.column("key").slice(start, len(texts)).take(pa.array(some))
                     doc = batch.column("doc_id").slice(start, len(texts)).take(pa.array(some))
@@ -154,13 +171,13 @@ def _signed(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, key binary, bands array<long>")
 
 
-def _sets(rows: DataFrame) -> DataFrame:
+def _sets(rows: DataFrame, weighted: bool) -> DataFrame:
     """key and the sorted shingle hashes as bytes of rows of key and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, texts in groups(batch.column("text")):
-                sets = [s.tobytes() for s in shingles(texts)]
+                sets = [s.tobytes() for s in (map(spread_out, *counted_shingles(texts)) if weighted else shingles(texts))]
                 yield pa.RecordBatch.from_arrays([batch.column("key").slice(start, len(texts)), pa.array(sets, pa.binary())], ["key", "shingles"])
         Cache.rest(_words)
 
@@ -191,12 +208,13 @@ def text_key(text: Column) -> Column:
 
 
 def _stars(members: DataFrame) -> DataFrame:
-    """Within each band's bucket (value, key), edges from every key to the bucket's least and greatest."""
+    """Within each band's bucket (value, key), edges from every key to the bucket's least and greatest. The ends are written
+    first, so that a join that takes them can split a bucket's members."""
     ends = members.groupBy("value").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high")
+    ends = materialize(ends, "minhash-ends")
     joined = members.join(ends.withColumnRenamed("value", "v"), F.col("value") == F.col("v"), "inner")
-    to_low = joined.where("key > low").select(F.col("key").alias("a"), F.col("low").alias("b"))
-    to_high = joined.where("key < high").select(F.col("high").alias("a"), F.col("key").alias("b"))
-    return to_low.unionByName(to_high).distinct()
+    ways = F.array(F.struct(F.col("key").alias("a"), F.col("low").alias("b")), F.struct(F.col("high").alias("a"), F.col("key").alias("b")))
+    return joined.select(F.explode(ways).alias("e")).select("e.a", "e.b").where("a > b").distinct()
 
 
 def _rarity(sets: DataFrame) -> np.ndarray:
@@ -267,7 +285,7 @@ def _maybe(bloom: Bloom | None, key: Column) -> Column:
     return F.lit(True) if bloom is None else holds(bloom, key)
 
 
-def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", weighted: bool = False) -> tuple[DataFrame, DataFrame]:
     """(texts, classes): key, least doc_id and rows of each distinct text with words; key and root of those in a class
     with another text.
 
@@ -276,18 +294,22 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     is not that of their bucket's least are offered again among themselves, as long as that offers pairs. Then the texts of
     all buckets that still hold several classes go through `_across`, which leaves out only pairs that can't be similar,
     so every pair of a bucket has been checked, excluded or found in one class.
+
+    `weighted`: darts fall on regions as wide as a shingle is often in its text, and similarity is that of the counts.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null").withColumn("key", text_key(F.col("text")))
-    signed = materialize(_signed(rows), "minhash-signed")
+    signed = materialize(_signed(rows, weighted), "minhash-signed")
     texts = materialize(signed.groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")), "minhash-texts")
-    members = texts.select("key", F.explode("bands").alias("value"))
-    shared = members.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumnRenamed("value", "v")
-    members = materialize(members.join(shared, F.col("value") == F.col("v"), "left_semi"), "minhash-buckets")
+    discard(signed)
+    every = texts.select("key", F.explode("bands").alias("value"))
+    shared = materialize(every.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("value").alias("v")), "minhash-shared")
+    members = materialize(every.join(shared, F.col("value") == F.col("v"), "left_semi"), "minhash-buckets")
+    discard(shared)
     needed = members.select("key").distinct()
     bloom = _bloom(needed)
     wanted = rows.where(_maybe(bloom, F.col("key"))).join(needed.join(texts.select("key", "least"), "key"), "key", "inner")
     one = wanted.where(F.col("doc_id").eqNullSafe(F.col("least"))).groupBy("key").agg(F.first("text").alias("text"))
-    sets = materialize(_sets(one), "minhash-sets")
+    sets = materialize(_sets(one, weighted), "minhash-sets")
     links, offered, left, classes = None, None, members, None
 
     def check(pairs: DataFrame) -> DataFrame:
@@ -304,51 +326,63 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
         offered = pairs if offered is None else offered.unionByName(pairs)
         found = check(pairs)
         links = found if links is None else links.unionByName(found)
-        classes = components(links, "minhash-classes")
-        rooted = members.join(classes.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        several = rooted.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("key").alias("first")).where("low < high")
-        first = rooted.select(F.col("value").alias("fv"), F.col("key").alias("fk"), F.col("root").alias("fr"))
-        firsts = several.join(first, (F.col("value") == F.col("fv")) & (F.col("first") == F.col("fk")), "inner").select(F.col("value").alias("v"), "fr")
-        left = materialize(rooted.join(firsts, F.col("value") == F.col("v"), "inner").where("root != fr").select("key", "value"), "minhash-left")
+        discard(classes)
+        classes = materialize(components(links, "minhash-components"), "minhash-classes")
+        rooted = materialize(members.join(classes.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")), "minhash-rooted")
+        ends = rooted.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct("key", "root")).alias("first"))
+        several = materialize(ends.where("low < high").select(F.col("value").alias("v"), F.col("first.root").alias("fr")), "minhash-several")
+        left = materialize(rooted.join(several, F.col("value") == F.col("v"), "inner").where("root != fr").select("key", "value"), "minhash-left")
     if classes is None:
         return texts.drop("bands"), texts.select(F.col("key").alias("node"), F.col("key").alias("root")).limit(0)
-    held = rooted.join(several.select(F.col("value").alias("v")), F.col("value") == F.col("v"), "left_semi").select("key", "root").distinct()
+    held = rooted.join(several.select("v"), F.col("value") == F.col("v"), "left_semi").select("key", "root").distinct()
     pairs = materialize(_across(held, sets, similarity).join(offered, ["a", "b"], "left_anti"), "minhash-pairs")
     if pairs.head(1):
-        classes = components(links.unionByName(check(pairs)), "minhash-classes")
+        classes = materialize(components(links.unionByName(check(pairs)), "minhash-components"), "minhash-classes")
+    discard(members, sets, rooted, several, left, offered, links, pairs)
     return texts.drop("bands"), classes
 
 
-def class_ids(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """key, class_id (the least doc_id of the class), least (doc_id with that text) and copies, for each distinct text with words."""
-    texts, classes = near_classes(docs, similarity, id_col, text_col)
+def class_ids(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", weighted: bool = False) -> DataFrame:
+    """key, root (the class, a text's key), first (doc_id and key of the class's first row: that of the least doc_id, null ids last, of
+    the least key among those) and class_rows, for each distinct text with words."""
+    texts, classes = near_classes(docs, similarity, id_col, text_col, weighted)
     rooted = texts.join(classes.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_rows")).withColumnRenamed("root", "r")
-    return materialize(rooted.join(ids, F.col("root") == F.col("r"), "inner").select("key", "least", "copies", "class_id", "class_rows"), "minhash-ids")
+    place = F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("doc_id"), "key")
+    ids = rooted.groupBy("root").agg(F.min(place).alias("first"), F.sum("copies").alias("class_rows")).withColumnRenamed("root", "r")
+    ids = materialize(ids, "minhash-firsts")
+    out = materialize(rooted.join(ids, F.col("root") == F.col("r"), "inner").select("key", "root", "first", "class_rows"), "minhash-ids")
+    discard(texts, classes, ids)
+    return out
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, class_id, class_rows (rows in the class) and kept (the class's first).
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", weighted: bool = False) -> DataFrame:
+    """One row per input row: doc_id, class_id, class_key, class_rows (rows in the class) and kept (the class's first row).
 
-    Similarity is Jaccard on the sets of five-word shingles of whole texts; equal texts are copies. Null texts and texts
-    without words are in a class of their own, that of their doc_id, and are kept. A class is named by its least doc_id.
+    Similarity is Jaccard on the sets of five-word shingles of whole texts, or on their counts if `weighted`; equal texts are
+    copies. A class has the id of its least doc_id (null if all are null), and as ids may repeat, also a key of its own. Just one
+    row of a class is kept, also where rows repeat or ids are shared or null. Null texts and texts without words are each in a
+    class of their own, with their doc_id and no key, and are kept. Empty tables give no rows; other columns don't matter.
     """
-    ids = class_ids(docs, similarity, id_col, text_col).withColumnRenamed("key", "k")
+    ids = class_ids(docs, similarity, id_col, text_col, weighted).withColumnRenamed("key", "k")
     rows = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("key"))
-    joined = rows.join(ids, F.col("key") == F.col("k"), "left")
+    counted = rows.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("__tm_n"))  # equal rows, of which one may be kept
+    joined = repeated(counted.join(ids, F.col("key") == F.col("k"), "left"), "__tm_n", "__tm_i")
     own = F.col("k").isNull()
+    first = (F.col("key") == F.col("first.key")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("__tm_i") == 0)
     return joined.select(
         "doc_id",
-        F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(own, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"),
+        F.lower(F.hex("root")).alias("class_key"),
         F.when(own, F.lit(1)).otherwise(F.col("class_rows")).cast("long").alias("class_rows"),
-        (own | F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"),
+        (own | first).alias("kept"),
     )
 
 
-def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One row of each class, with all columns of documents: that of the least doc_id (null ids come last); of repeated rows one."""
-    ids = class_ids(docs, similarity)
-    at_stake = ids.where("class_rows > 1").select(F.col("key").alias("__tm_k"), F.col("class_id").alias("__tm_class"))
+def keep_first(docs: DataFrame, similarity: float = SIMILARITY, weighted: bool = False) -> DataFrame:
+    """One row of each class, with all columns of documents: that of the least doc_id (null ids come last), of several the
+    one of the least text key; of repeated rows one. Null texts and texts without words stay, and so does an empty table."""
+    ids = class_ids(docs, similarity, weighted=weighted)
+    at_stake = ids.where("class_rows > 1").select(F.col("key").alias("__tm_k"), F.col("root").alias("__tm_root"), F.col("first").alias("__tm_first"))
     if not at_stake.head(1):
         return docs
     bloom = _bloom(at_stake.select(F.col("__tm_k").alias("key")))
@@ -357,8 +391,8 @@ def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     free = keyed.where(~hit).select(*docs.columns)
     joined = keyed.where(hit).join(at_stake, F.col("__tm_key") == F.col("__tm_k"), "left")
     alone = joined.where("__tm_k is null").select(*docs.columns)
-    firsts = joined.where(F.col("__tm_k").isNotNull() & F.col("doc_id").eqNullSafe(F.col("__tm_class")))
-    return free.unionByName(alone).unionByName(firsts.dropDuplicates(["__tm_class"]).select(*docs.columns))
+    firsts = joined.where((F.col("__tm_key") == F.col("__tm_first.key")) & F.col("doc_id").eqNullSafe(F.col("__tm_first.doc_id")))
+    return free.unionByName(alone).unionByName(firsts.dropDuplicates(["__tm_root"]).select(*docs.columns))
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
