@@ -354,7 +354,9 @@ def spread(rng, text, n):
     return out
 
 
-def test_near_duplicates_meet_in_full_buckets(spark):
+@pytest.mark.parametrize("block", [minhash.BLOCK, 40])
+def test_near_duplicates_meet_in_full_buckets(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
     rng = np.random.default_rng(4)
     base, form = ([f"{c}{i}" for i in range(n)] for c, n in (("v", 200), ("t", 240)))
     texts = [spread(rng, base, n) for n in rng.integers(2, 7, 300)]  # variants: some pairs are similar, most are nearly so
@@ -379,6 +381,22 @@ def test_near_duplicates_meet_in_full_buckets(spark):
     assert {r.doc_id: r.class_id for r in minhash.near_duplicates(made).collect()} == {i: find(i) for i in range(len(texts))}
 
 
+def test_no_pair_over_a_form_is_lost(spark):
+    rng = np.random.default_rng(9)
+    form = [f"t{i}" for i in range(1000)]
+    texts = []
+    for _ in range(300):  # pages of one form at 0.70, pairs of them at 0.81
+        own = form + [f"w{rng.integers(1 << 60)}" for _ in range(215)]
+        at = rng.choice(np.arange(5, 1210), 13, replace=False)
+        texts += [own, [f"w{rng.integers(1 << 60)}" if i in set((at // 9 * 9).tolist()) else w for i, w in enumerate(own)]]
+    texts = [" ".join(t) for t in texts]
+    sets = [sets_of(t) for t in texts]
+    similar = [i for i in range(0, 600, 2) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])]
+    assert len(similar) > 250
+    out = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
+    assert all(out[i] == out[i + 1] for i in similar)
+
+
 def test_dart_signatures_agree_as_often_as_sets_do():
     rng = np.random.default_rng(3)
     a = np.unique(rng.integers(0, 1 << 60, 400).astype("u8"))

@@ -28,8 +28,8 @@ SIMILARITY = 0.8
 #: Two documents of similarity 0.8 share no band with chance (1 - 0.8 ** 5) ** 28 < 2e-5.
 BANDS, ROWS = 28, 5
 CACHE = 300_000
-#: Slots of the table that orders shingles from rare to frequent, and texts in a block of those with one shingle.
-SLOTS, BLOCK, MOST_BLOCKS = 1 << 20, 1000, 64
+#: Texts in a block of a bucket, and cells of a matrix of their shingles.
+BLOCK, CELLS = 512, 4 << 20
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -217,63 +217,88 @@ def _stars(members: DataFrame) -> DataFrame:
     return joined.select(F.explode(ways).alias("e")).select("e.a", "e.b").where("a > b").distinct()
 
 
-def _rarity(sets: DataFrame) -> np.ndarray:
-    """For each slot of shingle hashes: 0 if one shingle of `sets` fell into it, more the more did. Its size is fixed."""
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    small, large = (x, y) if len(x) < len(y) else (y, x)
+    return int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x in batch.column("shingles"):
-                slot, n = np.unique(np.frombuffer(x.as_py(), "u8") % np.uint64(SLOTS), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(slot.astype("i4")), pa.array(n)], ["slot", "n"])
 
-    counts = sets.select("shingles").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(SLOTS, "u1")
-    out[counts.column("slot").to_numpy()] = np.minimum(8 * np.log2(np.maximum(counts.column("n").to_numpy(), 1)), 255).astype("u1")
+def links_between(sets: list[np.ndarray], roots: list[bytes], blocks: np.ndarray, least: float) -> list[tuple[bytes, bytes]]:
+    """Pairs of roots, one for each two classes of which two sets of different blocks (of one block, if there is but one) are similar.
+
+    Shingles are folded to so many columns that a product of counts, which is never below the number of common shingles, leaves few
+    pairs to look at one by one; it is taken for so many rows at once as fit CELLS.
+    """
+    sizes, names = np.array(list(map(len, sets))), sorted(set(roots))
+    number = dict(zip(names, range(len(names)), strict=True))
+    root, joined = np.array([number[r] for r in roots]), list(range(len(names)))
+
+    def find(x: int) -> int:
+        while joined[x] != x:
+            joined[x] = joined[joined[x]]
+            x = joined[x]
+        return x
+
+    order = np.argsort(sizes, kind="stable")
+    width = 1 << max(10, int(8 * np.median(sizes)).bit_length())
+    step = max(16, CELLS // width)
+    parts = [order[a : a + step] for a in range(0, len(order), step)]
+    several = blocks.min() != blocks.max()
+    out = []
+
+    def folded(rows: np.ndarray) -> np.ndarray:
+        at = np.concatenate([i * width + (sets[r] % np.uint64(width)).astype("i8") for i, r in enumerate(rows)])
+        return np.bincount(at, minlength=len(rows) * width).reshape(len(rows), width).astype("f4")
+
+    for p, rows in enumerate(parts):
+        left = None
+        for others in parts[p:]:
+            if sizes[rows[-1]] < least * sizes[others[0]]:
+                break  # sizes ascend: all further ones are too long
+            left = folded(rows) if left is None and len(sets) > 8 else left
+            bound = left @ folded(others).T if left is not None else np.minimum(sizes[rows][:, None], sizes[others])
+            need = least / (1 + least) * (sizes[rows][:, None] + sizes[others])
+            maybe = (bound >= need - 1e-3) & (root[rows][:, None] != root[others])
+            if several:
+                maybe &= blocks[rows][:, None] != blocks[others]
+            for i, k in np.argwhere(maybe):
+                x, y = rows[i], others[k]
+                if find(root[x]) != find(root[y]) and _common(sets[x], sets[y]) >= need[i, k] - 1e-9:
+                    joined[find(root[x])] = find(root[y])
+                    out.append((roots[x], roots[y]))
     return out
 
 
-def _prefixes(sets: DataFrame, least: float, rarity: np.ndarray) -> DataFrame:
-    """key, root, size, rest and shingle: the rarest size - ceil(least * size) + 1 shingles of each set, of which two sets
-    that are similar share one, without those that no other set has; rest counts the shingles that are not among them."""
+def _within_buckets(rooted: DataFrame, several: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between the classes that meet in a bucket (rooted: value, key, root; several: v, n of buckets with two classes or more).
+
+    A bucket is dealt over blocks of about BLOCK texts, and each two blocks meet in one place, so that no task holds a bucket. No
+    pairs are made as rows: a place gives the links that join classes, fewer than it has texts.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = rooted.join(several, F.col("value") == F.col("v"), "inner").withColumn("blocks", blocks)
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).join(sets, "key")
+    other = rows.select("value", "root", "block", "shingles", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
+    placed = other.select("value", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("k"), "root", "block", "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def links() -> pa.RecordBatch:
+            found = links_between([np.frombuffer(s, "u8") for s, _, _ in held], [r for _, r, _ in held], np.array([b for _, _, b in held]), least)
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], ["a", "b"])
+
         for batch in batches:
-            for i, x in enumerate(batch.column("shingles")):
-                x = np.frombuffer(x.as_py(), "u8")
-                rare = rarity[(x % np.uint64(SLOTS)).astype("i8")]
-                rest = math.ceil(least * len(x) - 1e-9) - 1
-                some = np.lexsort((x, rare))[: len(x) - rest]
-                some = x[some[rare[some] > 0]].view("i8")
-                at = pa.array(np.full(len(some), i))
-                size, left = pa.array(np.full(len(some), len(x), "i4")), pa.array(np.full(len(some), rest, "i4"))
-                yield pa.RecordBatch.from_arrays([batch.column("key").take(at), batch.column("root").take(at), size, left, pa.array(some)], ["key", "root", "size", "rest", "shingle"])
-
-    return sets.select("key", "root", "shingles").mapInArrow(run, "key binary, root binary, size int, rest int, shingle long")
-
-
-def _across(held: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b), a > b, of texts (key, root) of different classes: all that can have that similarity.
-
-    Of two sets' rarest shingles (see _prefixes) c are common. Beyond the prefix that ends first in the order of rarity
-    its set has `rest` shingles at most to share, so the sets share c + the greater `rest` at most. Texts
-    with one shingle meet in blocks by pairs, those of one class as a list, so that no task holds a frequent shingle and
-    no pair within a class is made.
-    """
-    ours = materialize(sets.join(held, "key"), "minhash-held")
-    index = materialize(_prefixes(ours, least, _rarity(ours)), "minhash-prefixes")
-    blocks = F.least(F.lit(MOST_BLOCKS), F.ceil(F.count(F.lit(1)) / BLOCK)).cast("int").alias("blocks")
-    mixed = index.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), blocks).where("low < high").select(F.col("shingle").alias("s"), "blocks")
-    placed = index.join(mixed, F.col("shingle") == F.col("s"), "inner").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    packs = materialize(placed.groupBy("s", "blocks", "root", "block").agg(F.collect_list(F.struct("key", "size", "rest")).alias("texts")), "minhash-packs")
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = packs.select("s", F.col("root").alias("ra"), F.col("block").alias("i"), others.alias("j"), F.col("texts").alias("xs"))
-    right = packs.select("s", F.col("root").alias("rb"), F.col("block").alias("j"), others.alias("i"), F.col("texts").alias("ys"))
-    met = left.join(right, ["s", "i", "j"]).where("ra < rb").select("ys", F.explode("xs").alias("x")).select("x", F.explode("ys").alias("y"))
-    met = met.where(F.least("x.size", "y.size") >= least * F.greatest("x.size", "y.size") - 1e-9)
-    most = F.greatest("x.rest", "y.rest").alias("rest")
-    pairs = met.select(F.greatest("x.key", "y.key").alias("a"), F.least("x.key", "y.key").alias("b"), (F.col("x.size") + F.col("y.size")).alias("sizes"), most)
-    counted = pairs.groupBy("a", "b", "sizes", "rest").agg(F.count(F.lit(1)).alias("c"))
-    return counted.where(F.col("c") + F.col("rest") >= least / (1 + least) * F.col("sizes") - 1e-6).select("a", "b")
+            place = zip(*(batch.column(c).to_pylist() for c in ("value", "i", "k")), strict=True)
+            for where, s, r, b in zip(place, *(batch.column(c).to_pylist() for c in ("shingles", "root", "block")), strict=True):
+                if where != at:
+                    if len(held) > 1:
+                        yield links()
+                    at, held = where, []
+                held.append((s, r, b))
+        if len(held) > 1:
+            yield links()
+
+    return placed.repartition("value", "i", "k").sortWithinPartitions("value", "i", "k").mapInArrow(run, "a binary, b binary")
 
 
 def _bloom(keys: DataFrame) -> Bloom | None:
@@ -290,10 +315,8 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     with another text.
 
     Distinct texts are signed once and every band's bucket offers its members' pairs with its least and greatest member,
-    so a bucket of n costs 2 n pairs, not n squared. Pairs that are checked and similar make classes. Members whose class
-    is not that of their bucket's least are offered again among themselves, as long as that offers pairs. Then the texts of
-    all buckets that still hold several classes go through `_across`, which leaves out only pairs that can't be similar,
-    so every pair of a bucket has been checked, excluded or found in one class.
+    so a bucket of n costs 2 n pairs. Pairs that are checked and similar make classes, which settles most buckets. Those that
+    still hold several classes are compared whole, in blocks, so every two texts of a bucket have been compared or are in one class.
 
     `weighted`: darts fall on regions as wide as a shingle is often in its text, and similarity is that of the counts.
     """
@@ -310,35 +333,21 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     wanted = rows.where(_maybe(bloom, F.col("key"))).join(needed.join(texts.select("key", "least"), "key"), "key", "inner")
     one = wanted.where(F.col("doc_id").eqNullSafe(F.col("least"))).groupBy("key").agg(F.first("text").alias("text"))
     sets = materialize(_sets(one, weighted), "minhash-sets")
-    links, offered, left, classes = None, None, members, None
-
-    def check(pairs: DataFrame) -> DataFrame:
-        with_sets = pairs.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a")
-        return materialize(_similar(with_sets, similarity), "minhash-links")
-
-    while True:
-        pairs = _stars(left)
-        if offered is not None:
-            pairs = pairs.join(offered, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "minhash-pairs")
-        if not pairs.head(1):
-            break
-        offered = pairs if offered is None else offered.unionByName(pairs)
-        found = check(pairs)
-        links = found if links is None else links.unionByName(found)
-        discard(classes)
-        classes = materialize(components(links, "minhash-components"), "minhash-classes")
-        rooted = materialize(members.join(classes.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")), "minhash-rooted")
-        ends = rooted.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct("key", "root")).alias("first"))
-        several = materialize(ends.where("low < high").select(F.col("value").alias("v"), F.col("first.root").alias("fr")), "minhash-several")
-        left = materialize(rooted.join(several, F.col("value") == F.col("v"), "inner").where("root != fr").select("key", "value"), "minhash-left")
-    if classes is None:
-        return texts.drop("bands"), texts.select(F.col("key").alias("node"), F.col("key").alias("root")).limit(0)
-    held = rooted.join(several.select("v"), F.col("value") == F.col("v"), "left_semi").select("key", "root").distinct()
-    pairs = materialize(_across(held, sets, similarity).join(offered, ["a", "b"], "left_anti"), "minhash-pairs")
-    if pairs.head(1):
-        classes = materialize(components(links.unionByName(check(pairs)), "minhash-components"), "minhash-classes")
-    discard(members, sets, rooted, several, left, offered, links, pairs)
+    none = texts.select(F.col("key").alias("node"), F.col("key").alias("root")).limit(0)
+    pairs = materialize(_stars(members), "minhash-pairs")
+    if not pairs.head(1):
+        return texts.drop("bands"), none
+    with_sets = pairs.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a")
+    links = materialize(_similar(with_sets, similarity), "minhash-links")
+    classes = materialize(components(links, "minhash-components"), "minhash-classes")
+    rooted = materialize(members.join(classes.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")), "minhash-rooted")
+    kinds = rooted.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"))
+    several = materialize(kinds.where("low < high").select(F.col("value").alias("v"), "n"), "minhash-several")
+    more = materialize(_within_buckets(rooted, several, sets, similarity), "minhash-links")
+    if more.head(1):
+        old, classes = classes, materialize(components(links.unionByName(more), "minhash-components"), "minhash-classes")
+        discard(old)
+    discard(members, sets, rooted, several, pairs, links, more)
     return texts.drop("bands"), classes
 
 
