@@ -262,22 +262,44 @@ def test_suffix_dedup_is_exact(docs, empty, spark):
 
 def test_suffix_array_and_prefixes():
     rng = np.random.default_rng(1)
-    data = rng.integers(97, 99, 500).astype("u1")
-    order = suffix_dedup.suffix_array(data, 600)
-    raw = data.tobytes()
-    assert order.tolist() == sorted(range(500), key=lambda i: raw[i:])
-    for k, n in enumerate(suffix_dedup.common_prefixes(data, order, 50).tolist()):
-        if k:
-            a, b = raw[order[k - 1] :], raw[order[k] :]
-            assert n == min(50, next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b))))
+    for sizes in ([500], [30] * 40, [int(x) for x in rng.integers(1, 90, 60)]):
+        texts = [rng.integers(97, 99, n).astype("u1").tobytes() for n in sizes]
+        texts += texts[:3]
+        data, stop = np.frombuffer(b"".join(texts), "u1"), np.cumsum(list(map(len, texts)))
+        ends = np.repeat(stop, list(map(len, texts)))
+        raw = [data[i:e].tobytes() for i, e in enumerate(ends)]
+        order = suffix_dedup.suffix_array(data, ends)
+        assert order.tolist() == sorted(range(len(data)), key=lambda i: (raw[i], i))
+        for k, n in enumerate(suffix_dedup.common_prefixes(data, order, ends, 50).tolist()):
+            if k:
+                a, b = raw[order[k - 1]], raw[order[k]]
+                assert n == min(50, next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b))))
+
+
+def test_ids_must_be_numbers_for_suffixes(spark):
+    with pytest.raises(ValueError):
+        suffix_dedup.remove_repeats(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
 
 
 def test_cleaned_texts_stay_valid(docs):
     out = suffix_dedup.cleaned(docs)
     assert out.columns == docs.columns
-    got = out.collect()
-    assert len(got) == len(pairs())
-    assert all(r.n_chars == len(r.text) for r in got if r.text != next((t for i, t in pairs() if i == r.doc_id), None) and r.doc_id in (6, 7, 8))
+    first = {}
+    for i, t in pairs():
+        for a in range(len(t.encode()) - 49):
+            if i is not None:
+                w = t.encode()[a : a + 50]
+                first[w] = min(first.get(w, i), i)
+    want = []
+    for r in rows():
+        raw = (r[1] or "").encode()
+        gone = np.zeros(len(raw), bool)
+        for a in range(len(raw) - 49):
+            if r[0] is not None and first[raw[a : a + 50]] < r[0]:
+                gone[a : a + 50] = True
+        text = None if r[1] is None else bytes(np.frombuffer(raw, "u1")[~gone]).decode("utf-8", "ignore")
+        want.append(str((r[0], text, len(text) if gone.any() else r[4], *r[5:])))
+    assert sorted(str((r.doc_id, r.text, r.n_chars, *r[5:])) for r in out.collect()) == sorted(want)
 
 
 def sets_of(text):
