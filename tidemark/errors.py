@@ -21,3 +21,7 @@ class UnsupportedTypeError(TidemarkError):
 
 class NotReadOnlyError(TidemarkError):
     sqlstate = "25006"
+
+
+class ResultTooLargeError(TidemarkError):
+    sqlstate = "54000"

@@ -82,7 +82,7 @@ def volume_by_name(df: DataFrame, names: DataFrame, c: Columns = OHLCV) -> DataF
 
 
 def sql_latest_close(table: str = "crypto_ohlcv") -> str:
-    return f"SELECT asset, max_by(struct(ts, close), ts).ts AS ts, max_by(struct(ts, close), ts).close AS close FROM {table} GROUP BY asset ORDER BY asset"
+    return f"SELECT asset, max(struct(ts, close)).ts AS ts, max(struct(ts, close)).close AS close FROM {table} GROUP BY asset ORDER BY asset"
 
 
 def sql_daily_volume(table: str = "crypto_ohlcv") -> str:

@@ -99,10 +99,14 @@ def _(events):
 
 
 def _suite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many rows each SQL builder of the suite gives over `events` as candles."""
+    """What every SQL builder of the suite gives over `events` as candles: metric, asset, time and value."""
     candles = table(spark, sf_dir, "events").select("ts", F.col("event_type").alias("asset"), F.col("value").alias("close"), F.col("value").alias("volume"))
     candles.createOrReplaceTempView("m7_candles")
-    parts = [spark.sql(sql).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("metric"), "n") for name, sql in metrics.metrics_suite(24, "m7_candles")]
+    parts = []
+    for name, sql in metrics.metrics_suite(24, "m7_candles"):
+        df = spark.sql(sql)
+        at = next((c for c in ("ts", "day") if c in df.columns), None)
+        parts.append(df.select(F.lit(name).alias("metric"), "asset", (F.col(at) if at else F.lit(None)).cast("timestamp_ntz").alias("at"), F.round(df.columns[-1], 6).alias("value")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -111,9 +115,14 @@ def _suite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["m7_metrics_suite"] = _suite
 ORACLES["m7_metrics_suite"] = """
-WITH a AS (SELECT count(DISTINCT event_type) AS k, count(DISTINCT (event_type, date_trunc('day', ts))) AS d, count(*) AS n FROM events)
-SELECT 'latest_close' AS metric, k AS n FROM a UNION ALL SELECT 'daily_volume', d FROM a UNION ALL SELECT 'daily_vwap', d FROM a
-UNION ALL SELECT 'sma_24', n FROM a UNION ALL SELECT 'volatility_24', n FROM a UNION ALL SELECT 'max_drawdown', k FROM a"""
+WITH e AS (SELECT event_type AS asset, ts, value AS c, date_trunc('day', ts)::TIMESTAMP AS day FROM events),
+r AS (SELECT asset, ts, c, ln(c / lag(c) OVER w) AS x, c / max(c) OVER w - 1 AS d FROM e WINDOW w AS (PARTITION BY asset ORDER BY ts))
+SELECT 'latest_close' AS metric, asset, max(ts) AS "at", round(arg_max(c, ts), 6) AS value FROM e GROUP BY asset
+UNION ALL SELECT 'daily_volume', asset, day, round(sum(c), 6) FROM e GROUP BY asset, day
+UNION ALL SELECT 'daily_vwap', asset, day, round(sum(c * c) / sum(c), 6) FROM e GROUP BY asset, day
+UNION ALL SELECT 'sma_24', asset, ts, round(avg(c) OVER (PARTITION BY asset ORDER BY ts ROWS BETWEEN 23 PRECEDING AND CURRENT ROW), 6) FROM e
+UNION ALL SELECT 'volatility_24', asset, ts, round(stddev_samp(x) OVER (PARTITION BY asset ORDER BY ts ROWS BETWEEN 23 PRECEDING AND CURRENT ROW), 6) FROM r
+UNION ALL SELECT 'max_drawdown', asset, NULL, round(min(d), 6) FROM r GROUP BY asset"""
 
 
 @query(
@@ -171,7 +180,7 @@ sql_query(
     "p20_conditionals",
     """SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice > 100000 THEN 'mid' ELSE 'low' END AS band,
     coalesce(nullif(o_orderstatus, 'P'), 'none') AS status, o_custkey IS DISTINCT FROM 42 AS other, CAST(o_totalprice AS BIGINT) >= 0 AS positive
-    FROM orders WHERE NOT (o_orderkey > 2000)""",
+    FROM orders WHERE NOT (o_totalprice > 250000)""",
     None,
     "orders",
 )
@@ -369,12 +378,8 @@ sql_query("w7_named_window", "SELECT event_id, CAST(row_number() OVER w AS BIGIN
 _RANKED = "SELECT o_orderkey, o_totalprice, CAST(row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) AS n FROM ({0}) t"
 
 
-@query("o1_order_by", "SELECT * FROM (SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 100) t", "orders")
-def _(orders):
-    return orders.select("o_orderkey", "o_totalprice").orderBy("o_totalprice", "o_orderkey").limit(100)
-
-
-sql_query("o2_order_desc", "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC NULLS LAST, o_orderkey LIMIT 25", None, "orders")
+sql_query("o1_order_by", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey", None, "orders")
+sql_query("o2_order_desc", "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC NULLS LAST, o_orderkey", None, "orders")
 sql_query("o3_limit", "SELECT count(*) AS n FROM (SELECT o_orderkey FROM orders LIMIT 10) t", None, "orders")
 sql_query("o4_limit_above_filter", "SELECT count(*) AS n FROM (SELECT o_orderkey FROM orders WHERE o_orderkey + 1 > 100 LIMIT 7) t", None, "orders")
 sql_query("o5_top_k", _RANKED.format("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 3"), None, "orders")
@@ -382,9 +387,9 @@ sql_query("o6_offset", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_t
 _SETS = {
     "union": "SELECT n_nationkey AS k FROM nation UNION SELECT c_nationkey FROM customer",
     "union_all": "SELECT n_nationkey AS k FROM nation UNION ALL SELECT s_nationkey FROM supplier",
-    "intersect": "SELECT c_nationkey AS k FROM customer WHERE c_custkey < 40 INTERSECT SELECT s_nationkey FROM supplier",
+    "intersect": "SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 9900 INTERSECT SELECT s_nationkey FROM supplier",
     "intersect_all": "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier",
-    "except": "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey < 30",
+    "except": "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000",
     "except_all": "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier",
     "distinct": "SELECT DISTINCT p_brand, p_size FROM part",
 }
@@ -458,6 +463,63 @@ sql_query(
 )
 
 
+sql_query(
+    "a9_regressions",
+    """SELECT event_type, CAST(regr_count(value, user_id) AS BIGINT) AS n, round(regr_avgx(value, user_id), 5) AS ax, round(regr_avgy(value, user_id), 5) AS ay,
+    round(regr_sxx(value, user_id), 2) AS sxx, round(regr_syy(value, user_id), 2) AS syy, round(regr_sxy(value, user_id), 2) AS sxy, round(regr_r2(value, user_id), 8) AS r2
+    FROM events GROUP BY event_type""",
+    None,
+    "events",
+)
+sql_query(
+    "a9_first_last",
+    "SELECT event_type, min_by(value, ts) AS first_value, max_by(value, ts) AS last_value FROM events GROUP BY event_type",
+    "SELECT event_type, first(value ORDER BY ts) AS first_value, last(value ORDER BY ts) AS last_value FROM events GROUP BY event_type",
+    "events",
+)
+sql_query(
+    "f_trigonometry",
+    """SELECT l_orderkey, l_linenumber, l_quantity, round(cos(l_quantity), 8) AS c, round(tan(l_discount), 8) AS t, round(asin(l_discount), 8) AS a_s, round(acos(l_tax), 8) AS a_c,
+    round(atan(l_quantity), 8) AS a_t, round(atan2(l_tax, l_quantity), 8) AS a2, round(cot(l_quantity), 6) AS ct, round(degrees(l_discount), 6) AS dg, round(radians(l_quantity), 8) AS ra,
+    round(cbrt(l_quantity), 8) AS cb, round(log10(l_quantity), 8) AS l10, round(log2(l_quantity), 8) AS l2, round(pi(), 8) AS p, round(sinh(l_tax), 8) AS sh, round(cosh(l_tax), 8) AS ch, round(tanh(l_tax), 8) AS th FROM lineitem""",
+    None,
+    "lineitem",
+)
+sql_query(
+    "f_string_forms",
+    """SELECT p_partkey, overlay(p_name PLACING 'XY' FROM 2 FOR 3) AS o, CAST(levenshtein(p_name, p_type) AS BIGINT) AS d, CAST(ascii(p_name) AS BIGINT) AS a, char(65 + p_size) AS ch, btrim(concat('xx', p_brand, 'x'), 'x') AS bt,
+    rpad(p_brand, 12, '.') AS rp, ltrim(concat('  ', p_brand)) AS lt, rtrim(concat(p_brand, '  ')) AS rt, base64(encode(p_name, 'UTF-8')) AS b64, CAST(bit_length(p_name) AS BIGINT) AS bl, CAST(octet_length(p_name) AS BIGINT) AS ol, concat_ws('-', p_brand, NULL, p_type) AS cw FROM part""",
+    """SELECT p_partkey, left(p_name, 1) || 'XY' || substr(p_name, 5) AS o, levenshtein(p_name, p_type) AS d, ascii(p_name)::BIGINT AS a, chr(65 + p_size) AS ch, trim(concat('xx', p_brand, 'x'), 'x') AS bt,
+    rpad(p_brand, 12, '.') AS rp, ltrim(concat('  ', p_brand)) AS lt, rtrim(concat(p_brand, '  ')) AS rt, base64(encode(p_name)) AS b64, bit_length(p_name)::BIGINT AS bl, strlen(p_name)::BIGINT AS ol, concat_ws('-', p_brand, NULL, p_type) AS cw FROM part""",
+    "part",
+)
+sql_query(
+    "f_date_forms",
+    """SELECT o_orderkey, make_date(year(o_orderdate), 2, 1) AS md, CAST(unix_seconds(CAST(o_orderdate AS TIMESTAMP)) AS BIGINT) AS u, date_format(o_orderdate, 'yyyy/MM/dd HH:mm') AS f,
+    to_date('2021-03-04', 'yyyy-MM-dd') AS td, CAST(quarter(o_orderdate) AS BIGINT) AS q, CAST(dayofyear(o_orderdate) AS BIGINT) AS doy, last_day(o_orderdate) AS ld, CAST(datediff(DATE '2000-01-01', o_orderdate) AS BIGINT) AS dd,
+    CAST(timestamp_seconds(CAST(floor(unix_seconds(CAST(o_orderdate AS TIMESTAMP)) / 604800) AS BIGINT) * 604800) AS timestamp_ntz) AS bin FROM orders""",
+    """SELECT o_orderkey, make_date(year(o_orderdate), 2, 1) AS md, epoch(o_orderdate)::BIGINT AS u, strftime(o_orderdate, '%Y/%m/%d %H:%M') AS f,
+    DATE '2021-03-04' AS td, quarter(o_orderdate) AS q, dayofyear(o_orderdate) AS doy, last_day(o_orderdate) AS ld, date_diff('day', o_orderdate::DATE, DATE '2000-01-01') AS dd,
+    time_bucket(INTERVAL 7 DAYS, o_orderdate, TIMESTAMP '1970-01-01') AS bin FROM orders""",
+    "orders",
+)
+sql_query(
+    "f_nested",
+    """SELECT p_partkey, m['size'] AS size, array_join(map_keys(m), ',') AS keys, s.a AS a, array_join(flatten(array(w, array('end'))), ' ') AS flat, CAST(array_position(w, 'blue') AS BIGINT) AS at, array_join(array_sort(array_union(w, array('zz'))), ' ') AS both,
+    array_join(array_sort(array_except(w, array('blue'))), ' ') AS less FROM (SELECT p_partkey, map('size', CAST(p_size AS STRING), 'brand', p_brand) AS m, named_struct('a', p_type) AS s, split(p_name, ' ') AS w FROM part) t""",
+    """SELECT p_partkey, p_size::VARCHAR AS size, 'size,brand' AS keys, p_type AS a, p_name || ' end' AS flat, coalesce(list_position(w, 'blue'), 0)::BIGINT AS at, array_to_string(list_sort(list_distinct(w || ['zz'])), ' ') AS both,
+    array_to_string(list_sort(list_distinct(list_filter(w, lambda x: x <> 'blue'))), ' ') AS less FROM (SELECT *, string_split(p_name, ' ') AS w FROM part) t""",
+    "part",
+)
+sql_query(
+    "f_json_forms",
+    "SELECT n_nationkey, to_json(named_struct('k', n_nationkey, 'n', n_name)) AS j, from_json(concat('{\"v\":', n_nationkey, '}'), 'v INT').v AS v FROM nation",
+    "SELECT n_nationkey, '{\"k\":' || n_nationkey || ',\"n\":\"' || n_name || '\"}' AS j, n_nationkey AS v FROM nation",
+    "nation",
+)
+sql_query("f_types", "SELECT typeof(n_name) AS t, count(DISTINCT n_regionkey) AS n FROM nation GROUP BY 1", "SELECT 'string' AS t, count(DISTINCT n_regionkey) AS n FROM nation", "nation")
+
+
 # Sources and sinks.
 def _round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Through the folder source: fixed schema, Parquet files only."""

@@ -8,14 +8,16 @@ byte order is the one order in which both sides agree. Reads are lazy, one conne
 from __future__ import annotations
 
 import logging
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
-from urllib.parse import unquote, urlsplit
+from urllib.parse import parse_qsl, unquote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from .introspection import ColumnRecord, TableSchema, by_priority, group_columns, registration_names
+from .parquet import view_name
 
 log = logging.getLogger(__name__)
 
@@ -70,15 +72,21 @@ class Database:
         return [ColumnRecord(s, t, c, str(d).lower(), str(u).lower(), str(n).upper() in ("YES", "TRUE")) for s, t, _, c, d, u, n in cells]
 
 
+_PAIR = re.compile(r"\s*([A-Za-z_]+)\s*=\s*(?:'((?:[^'\\]|\\.)*)'|(\S*))")
+
+
 def from_uri(uri: str) -> Database:
-    """A JDBC address from a postgres:// one or from key=value pairs; the password travels as an option."""
+    """A JDBC address from a postgres:// one or from key=value pairs, whose values may stand in single quotes. User, password and
+    all further parameters (sslmode, application_name, ...) travel as options, so none is lost."""
     if uri.startswith(("postgres://", "postgresql://")):
         u = urlsplit(uri)
-        parts = {"host": u.hostname or "localhost", "port": str(u.port or 5432), "dbname": u.path.lstrip("/"), "user": unquote(u.username or ""), "password": unquote(u.password or "")}
+        parts = dict(parse_qsl(u.query, keep_blank_values=True))
+        parts |= {"host": u.hostname or "localhost", "port": str(u.port or 5432), "dbname": u.path.lstrip("/"), "user": unquote(u.username or ""), "password": unquote(u.password or "")}
     else:
-        parts = dict(p.split("=", 1) for p in uri.split())
-    options = {k: parts[k] for k in ("user", "password") if parts.get(k)}
-    return Database(f"jdbc:postgresql://{parts.get('host', 'localhost')}:{parts.get('port', '5432')}/{parts.get('dbname', '')}", options=options)
+        parts = {k: re.sub(r"\\(.)", r"\1", q) if q else v for k, q, v in _PAIR.findall(uri)}
+    place = {k: parts.pop(k, "") for k in ("host", "port", "dbname")}
+    options = {k: v for k, v in parts.items() if v}
+    return Database(f"jdbc:postgresql://{place['host'] or 'localhost'}:{place['port'] or '5432'}/{place['dbname']}", options=options)
 
 
 # Base tables only, so views are left out.
@@ -133,12 +141,12 @@ def register(
         log.warning("no tables in the schemas %s", ", ".join(schemas))
     out: dict[str, TableSchema] = {}
     for name, table in registration_names(tables, reserved):
-        database.read(spark, relation(table, database.dialect), (partitioning or {}).get(name)).createOrReplaceTempView(name)
+        database.read(spark, relation(table, database.dialect), (partitioning or {}).get(name)).createOrReplaceTempView(view_name(name))
         out[name] = table
     for name, alias in aliases.items():
         found = next((t for n, t in out.items() if n.lower() == name), None)
         if found and alias not in out and alias not in reserved:
-            database.read(spark, relation(found, database.dialect)).createOrReplaceTempView(alias)
+            database.read(spark, relation(found, database.dialect)).createOrReplaceTempView(view_name(alias))
             out[alias] = found
     return out
 

@@ -15,9 +15,14 @@ def read_folder(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
     return spark.read.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path)
 
 
+def view_name(name: str) -> str:
+    """A name as one that Spark takes whatever its characters."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def parquet_view(spark: SparkSession, path: str, schema: T.StructType, name: str) -> DataFrame:
     df = read_folder(spark, path, schema)
-    df.createOrReplaceTempView(name)
+    df.createOrReplaceTempView(view_name(name))
     return df
 
 
@@ -32,8 +37,9 @@ def has_parquet(spark: SparkSession, path: str) -> bool:
 def with_nano_time(spark: SparkSession, path: str, schema: T.StructType, column: str) -> DataFrame:
     """Files whose timestamps are in nanoseconds: read as integers and cut to microseconds."""
     raw = T.StructType([T.StructField(f.name, T.LongType()) if f.name == column else f for f in schema])
-    spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
-    df = read_folder(spark, path, raw)
+    own = spark.newSession()  # the setting holds for a session, and other reads must not see it
+    own.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
+    df = read_folder(own, path, raw)
     return df.withColumn(column, F.expr(f"cast(timestamp_micros({column} div 1000) as timestamp_ntz)"))
 
 
