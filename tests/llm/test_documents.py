@@ -190,6 +190,31 @@ def test_sharding_moves_rows_only_into_the_new_shard(docs, empty, spark):
     assert sharding.shard_documents(empty, sharding.founding_tree(3)).count() == 0
 
 
+def test_the_tree_is_descended_by_the_least_draw(spark):
+    import math
+    import struct
+
+    import xxhash
+
+    def draw(name, key, weight):
+        h = xxhash.xxh64_intdigest(struct.pack("<q", key), seed=xxhash.xxh64_intdigest(name.encode(), seed=42))
+        return -math.log(((h & ((1 << 52) - 1)) + 0.5) / (1 << 52)) / weight
+
+    def brute(key, tree):
+        total = lambda rack: sum(w for _, w in rack)
+        g = min(range(len(tree.regions)), key=lambda g: draw(f"g{g}", key, sum(map(total, tree.regions[g]))))
+        first = sum(len(region) for region in tree.regions[:g])
+        r = min(range(len(tree.regions[g])), key=lambda r: draw(f"r{first + r}", key, total(tree.regions[g][r])))
+        return g, first + r, min(tree.regions[g][r], key=lambda s: draw(f"s{s[0]}", key, s[1]))[0]
+
+    uneven = sharding.Tree(((((0, 1.0), (1, 3.0)), ((2, 0.5),)), (((3, 2.0), (4, 2.0)),)))
+    for tree in (sharding.founding_tree(40), uneven):
+        got = sharding.shard_documents(spark.range(2000).selectExpr("id * 7919 - 5000 as doc_id", "'x' as text"), tree).collect()
+        assert all((r.region, r.rack, r.shard) == brute(r.doc_id, tree) and r.grown_shard == brute(r.doc_id, tree.grown())[2] for r in got)
+    part = collections.Counter(r.shard for r in got)
+    assert all(abs(part[s] / 2000 - w / 8.5) < 0.05 for region in uneven.regions for rack in region for s, w in rack)
+
+
 def test_a_changed_weight_moves_rows_only_through_its_subtree(spark):
     keys = spark.range(3000)
     tree = sharding.founding_tree(16)
@@ -450,6 +475,20 @@ def test_languages(docs, empty, spark, sf):
     assert langid.keep_accepted(docs, model).columns == docs.columns
 
 
+def test_texts_of_other_languages_are_rejected(spark, sf):
+    real = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.learn(real)
+    other = [
+        "Tämä on suomenkielinen teksti, jossa kerrotaan pitkästi järvistä, metsistä ja talvisista yöllisistä retkistä pohjoiseen.",
+        "Это русский текст о реках, горах и долгих зимних вечерах, когда снег ложится на крыши домов и дороги.",
+        "这是一段关于河流和山脉的中文文本，讲述了漫长的冬夜。",
+        "xqzjv wkqpz vvxkq zzqwj kxjvq pqzxw jjkvx qwzzk vxqkj zpwqx kkjzv xwqpz",
+    ]
+    rows = spark.createDataFrame([(i, t * 5) for i, t in enumerate(other)], "doc_id long, text string")
+    assert not langid.predict(rows, model).where("accepted").count()
+    assert langid.keep_accepted(rows, model).count() == 0
+
+
 def test_words_share_out_the_probability():
     from itertools import product
 

@@ -221,8 +221,9 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Fit and calibrate on the labelled rows outside fold 0.
 
     The limit of a language is its calibration documents' median cross-entropy plus eight times the distance from there to
-    their 95th percentile, and a bit at least, so that documents like them stay and texts of other kinds go. No labelled rows give an
-    empty model, which predicts nothing.
+    their 95th percentile, and a bit at least, so that documents like them stay and texts of other kinds go; but no more than what a
+    model without any knowledge of the letters' order would give, which few and odd calibration documents could else exceed. No
+    labelled rows give an empty model, which predicts nothing.
     """
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where((fold(F.col("i")) != 0) & F.col("l").isNotNull())
     sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -242,7 +243,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     model.limits = {}
     seen = _judged(sample.where("check").select(F.col("i").alias("doc_id"), F.col("t").alias("text")), model).where("best is not null")
     for r in seen.groupBy("best").agg(F.expr("percentile(bits, array(0.5, 0.95))").alias("q")).collect():
-        model.limits[r["best"]] = float(r["q"][0] + max(8 * (r["q"][1] - r["q"][0]), 1.0))
+        limit = float(r["q"][0] + max(8 * (r["q"][1] - r["q"][0]), 1.0))
+        model.limits[r["best"]] = min(limit, float(np.log2(model.alphabet[model.languages.index(r["best"])])))
     model.tag = model.tag.replace("-raw", f"-{zlib.crc32(repr(sorted(model.limits.items())).encode())}")
     return model
 
