@@ -1,7 +1,7 @@
 """Market metrics over candle tables, as DataFrame functions and as SQL text.
 
-Each builder takes the table and column names, so that any table of (time, name, value, volume) can be measured. Windows are
-partitioned by the name; the two aggregates over a whole name (latest, drawdown) are partial before they shuffle where SQL allows.
+Each builder takes the table and column names, so that any table of (time, name, value, volume) can be measured. The DataFrame
+functions deal the windows of a name over ranges of time, as names may be few; in SQL text windows are partitioned by the name.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
+
+from tidemark.operators.ranges import running_max, trailing
 
 CANDLES = T.StructType(
     [T.StructField("ts", T.TimestampNTZType(), False), T.StructField("asset", T.StringType(), False)]
@@ -57,21 +58,26 @@ def daily_vwap(df: DataFrame, c: Columns = OHLCV) -> DataFrame:
 
 
 def sma(df: DataFrame, n: int, c: Columns = OHLCV) -> DataFrame:
-    over = W.partitionBy(c.asset).orderBy(c.ts).rowsBetween(*_span(n))
-    return df.select(c.asset, c.ts, c.close, F.avg(c.close).over(over).alias(f"sma_{n}")).orderBy(c.asset, c.ts)
+    rows = df.select(c.asset, c.ts, c.close)
+    made = trailing(rows, c.asset, c.ts, max(n - 1, 0), lambda w: {f"sma_{n}": F.avg(c.close).over(w.rowsBetween(*_span(n)))})
+    return made.orderBy(c.asset, c.ts)
 
 
 def rolling_volatility(df: DataFrame, n: int, c: Columns = OHLCV) -> DataFrame:
     """Sample deviation of log returns; null with fewer than two returns."""
-    order = W.partitionBy(c.asset).orderBy(c.ts)
-    change = F.ln(F.try_divide(F.col(c.close), F.lag(c.close, 1).over(order)))
-    rows = df.select(c.asset, c.ts, change.alias("__r"))
-    return rows.select(c.asset, c.ts, F.stddev_samp("__r").over(order.rowsBetween(*_span(n))).alias(f"volatility_{n}")).orderBy(c.asset, c.ts)
+    rows = df.select(c.asset, c.ts, c.close)
+
+    def columns(w):
+        change = F.ln(F.try_divide(F.col(c.close), F.lag(c.close, 1).over(w)))
+        return {"__r": change, f"volatility_{n}": F.stddev_samp("__r").over(w.rowsBetween(*_span(n)))}
+
+    made = trailing(rows, c.asset, c.ts, max(n, 1), columns)  # the first return of a frame needs one row more
+    return made.select(c.asset, c.ts, f"volatility_{n}").orderBy(c.asset, c.ts)
 
 
 def max_drawdown(df: DataFrame, c: Columns = OHLCV) -> DataFrame:
-    peak = F.max(c.close).over(W.partitionBy(c.asset).orderBy(c.ts).rowsBetween(W.unboundedPreceding, 0))
-    rows = df.select(c.asset, (F.try_divide(F.col(c.close), peak) - 1).alias("__d"))
+    peaks = running_max(df.select(c.asset, c.ts, c.close), c.asset, c.ts, c.close, "__peak")
+    rows = peaks.select(c.asset, (F.try_divide(F.col(c.close), F.col("__peak")) - 1).alias("__d"))
     return rows.groupBy(c.asset).agg(F.min("__d").alias("max_drawdown")).orderBy(c.asset)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import metrics
 from tidemark.operators.metrics import Columns
+from tidemark.operators.ranges import running_max, trailing
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -353,11 +354,28 @@ def _(events):
 
 
 _OVER = "OVER (PARTITION BY event_type ORDER BY ts"
+
+
+def _looking_back(name: str, sql: str, rows: int, value: Callable) -> None:
+    """A trailing window over `events`: its SQL, how many rows it looks back, and the column it makes of an ordered window."""
+
+    @query(name, f"SELECT event_id, {sql} AS x FROM events", "events")
+    def _(events):
+        rows_of = events.select("event_id", "event_type", "ts", "value")
+        return trailing(rows_of, "event_type", "ts", rows, lambda w: {"x": value(w)}).select("event_id", "x")
+
+
+_looking_back("w2_trailing_mean", f"round(avg(value) {_OVER} ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 6)", 6, lambda w: F.round(F.avg("value").over(w.rowsBetween(-6, 0)), 6))
+_looking_back("w3_lag", f"lag(value) {_OVER})", 1, lambda w: F.lag("value").over(w))
+_looking_back("w4_trailing_deviation", f"round(stddev_samp(value) {_OVER} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 5)", 9, lambda w: F.round(F.stddev_samp("value").over(w.rowsBetween(-9, 0)), 5))
+
+
+@query("w5_running_max", f"SELECT event_id, max(value) {_OVER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS x FROM events", "events")
+def _(events):
+    return running_max(events.select("event_id", "event_type", "ts", "value"), "event_type", "ts", "value", "x").select("event_id", "x")
+
+
 for _name, _expr in {
-    "w2_trailing_mean": f"round(avg(value) {_OVER} ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 6)",
-    "w3_lag": f"lag(value) {_OVER})",
-    "w4_trailing_deviation": f"round(stddev_samp(value) {_OVER} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 5)",
-    "w5_running_max": f"max(value) {_OVER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
     "w6_window_of_none": f"round(avg(value) {_OVER} ROWS BETWEEN 0 PRECEDING AND CURRENT ROW), 6)",
     "w7_rank": f"CAST(rank() {_OVER}) AS BIGINT)",
     "w7_dense_rank": "CAST(dense_rank() OVER (PARTITION BY event_type ORDER BY floor(value)) AS BIGINT)",
