@@ -279,9 +279,15 @@ def test_suffix_dedup_is_exact(docs, empty, spark):
         a, b = rng.integers(0, 12, 2)
         x, y = rng.integers(0, 120, 2)
         data.append((int(i // 1.1), base[a][x : x + int(rng.integers(30, 90))] + base[b][y : y + int(rng.integers(45, 56))]))
-    for shard in (suffix_dedup.SHARD, 20):  # the smaller deals buckets over several shards, which are merged
+    passage = "".join(rng.choice(list("abcdeé"), 90))
+    for i in range(80):  # one passage in ever different company
+        a, b, c = (int(rng.integers(0, n)) for n in (70, 70, 20))
+        around = ["".join(rng.choice(list("vwxyz"), n)) for n in (a, b)]
+        data.append((200 - i // 2 * 2 if i % 9 == 0 else 100 + i, around[0] + passage[c : c + 70] + around[1]))
+    # few to a shard and few documents of a common anchor deal buckets over shards and parts, which are merged
+    for shard, common in ((suffix_dedup.SHARD, suffix_dedup.COMMON), (20, suffix_dedup.COMMON), (suffix_dedup.SHARD, 2), (20, 5)):
         df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
-        got = sorted(str(tuple(r)) for r in suffix_dedup.remove_repeats(df, shard=shard).collect())
+        got = sorted(str(tuple(r)) for r in suffix_dedup.remove_repeats(df, shard=shard, common=common).collect())
         assert got == brute_repeats([(i, t.encode()) for i, t in data])
 
 
